@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import SPACE, ascii_lower, bind, shared_table, text_key
+from lexloom.session import ship_package
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -160,6 +161,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     frequent lines is copied to several tasks and its probes are dealt over them.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars))
     seen = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.explode(keys).alias("k"))
     seen = seen.select("doc_id", "tk", F.xxhash64("k").alias("h"), F.hash("k").alias("f"))

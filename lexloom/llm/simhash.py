@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import components, shared_table
+from lexloom.session import ship_package
 
 WORDS = 4
 MAX_BITS = 4
@@ -49,6 +50,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
