@@ -91,9 +91,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, chun
 class RecordReader:
     """Incremental parser: bytes in, finished pages out; holds one head and a digest's state, never a payload."""
 
-    def __init__(self):
+    def __init__(self, out: list[dict]):
         self.head, self.left, self.skip, self.page, self.http = b"", 0, 0, None, None
-        self.out: list[dict] = []
+        self.out = out
+
+    def close(self) -> None:
+        if self.head or self.left or self.page is not None:
+            raise ValueError("the archive ends within a record")
 
     def feed(self, data: bytes) -> None:
         view = memoryview(data)
@@ -164,20 +168,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     the size and digest of the full payload in their heads.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, file = None, None
+        reader, file, out = None, None, []
         for b in batches:
             for name, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if name != file:
-                    reader, file = RecordReader(), name
+                if name != file:  # several files may share a task
+                    if reader is not None:
+                        reader.close()
+                    reader, file = RecordReader(out), name
                 else:
                     reader.feed(b"\r\n\r\n")
                 reader.feed(piece.as_py())
-                if len(reader.out) >= 1000:
-                    yield pa.RecordBatch.from_pylist(reader.out, SCHEMA_PA)
-                    reader.out = []
-            if reader is not None and reader.out:
-                yield pa.RecordBatch.from_pylist(reader.out, SCHEMA_PA)
-                reader.out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, SCHEMA_PA)
+                out.clear()
+        if reader is not None:
+            reader.close()
 
     ship_package(spark)
     pieces = spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
