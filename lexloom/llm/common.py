@@ -64,6 +64,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("\u0000")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, tk): each row of ``docs`` as one struct beside what operators look at, so that no column of ``docs`` can clash
+    with a working column; ``select("row.*")`` gives it back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", text_key(F.col("text")).alias("tk"))
+
+
+def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of packed rows with ``keys`` (doc_id, tk); null ids match null ids."""
+    keys = keys.select(F.col("doc_id").alias("key_id"), F.col("tk").alias("key_tk"))
+    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("tk") == F.col("key_tk")), how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, label): label is the smallest node reached.
 

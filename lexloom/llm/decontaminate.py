@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import shared_table, text_key
+from lexloom.llm.common import matching, packed, shared_table, text_key
 from lexloom.session import ship_package
 
 SEED_WORDS = 3
@@ -196,7 +196,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    bad = leaks(docs, benchmark, min_score).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"))
-    rows = docs.withColumn("__key", text_key(F.col("text")))
-    rows = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")), "left_anti")
-    return rows.select(*docs.columns)
+    return matching(packed(docs), leaks(docs, benchmark, min_score), "left_anti").select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, ascii_lower, bind, shared_table, text_key
+from lexloom.llm.common import SPACE, ascii_lower, bind, packed, shared_table, text_key
 from lexloom.session import ship_package
 
 MIN_DOCS = 10
@@ -186,23 +186,22 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, **sizes) -> DataFrame:
-    """``docs`` with columns n_lines, n_dropped and kept (the text without frequent lines).
+    """(row, n_lines, n_dropped, kept): each row as a struct, and its text without frequent lines.
 
     A line's key is the line stripped of ASCII whitespace at both ends, A-Z lower-cased; keys of at least
     ``min_chars`` characters that occur in at least ``min_docs`` rows lose all their lines.  Null and empty texts
-    are one empty line.  Repeated rows each count as a document.  Other columns, whatever their names, are kept
-    as they are.
+    are one empty line.  Repeated rows each count as a document.  Other columns, whatever their names, stay
+    in the struct as they are.
     """
     drops = frequent_lines(docs.select("doc_id", "text"), min_docs, min_chars, **sizes)
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("drops").alias("__drops"))
-    rows = docs.withColumn("__key", text_key(F.col("text")))
-    rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")), "left")
+    drops = drops.withColumnsRenamed({"doc_id": "key_id", "tk": "key_tk"})
+    rows = packed(docs).join(drops, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("tk") == F.col("key_tk")), "left")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("__drops").isNull(), lines).otherwise(
-        bind(F.col("__drops"), lambda d: F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(d, F.xxhash64(line_key(x))))))
-    rows = rows.withColumn("__kept", kept)
-    return rows.select(*[F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"),
-                       (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"), F.array_join("__kept", "\n").alias("kept"))
+    kept = F.when(F.col("drops").isNull(), lines).otherwise(
+        bind(F.col("drops"), lambda d: F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(d, F.xxhash64(line_key(x))))))
+    rows = rows.withColumn("kept", kept)
+    return rows.select("row", F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"),
+                       F.array_join("kept", "\n").alias("kept"))
 
 
 ORACLE = """

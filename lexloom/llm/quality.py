@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, bind, shared_table, text_key
+from lexloom.llm.common import WORD, bind, matching, packed, shared_table, text_key
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -120,10 +120,7 @@ def judge(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 
 def keep_good(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are."""
-    kept = judge(docs, spread).where("kept").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"))
-    rows = docs.withColumn("__key", text_key(F.col("text")))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")), "left_semi")
-    return rows.select(*docs.columns)
+    return matching(packed(docs), judge(docs, spread).where("kept"), "left_semi").select("row.*")
 
 
 ORACLE = r"""

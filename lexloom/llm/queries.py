@@ -23,7 +23,7 @@ conversations = _table("conversations")
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = line_dedup.dedup_lines(documents(spark, sf))
-    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:

@@ -153,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
                     if y == 1:
                         seen[kind][1].update(got)
             got = [(kind, w, n, tox[w]) for kind, (all_, tox) in seen.items() for w, n in all_.items()]
+            if not got:
+                continue
             kind, word, n, y = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(word), pa.array(n, pa.int64()), pa.array(y, pa.int64())], ["kind", "word", "n", "y"])
 
