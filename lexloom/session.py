@@ -8,6 +8,9 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Most bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
+
 _SHIPPED: dict[str, str] = {}
 
 
@@ -25,10 +28,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors' Python workers, once for each application.
+    """Prepare a session for operators that run Python: small Arrow batches, and this package's sources on the executors.
+
+    A worker holds a batch several times over, so batches are held to ARROW_BYTES unless the session asks for less.
 
     Functions of a package are pickled by name; workers that were not started with it on their path need a copy.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
