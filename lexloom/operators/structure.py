@@ -25,13 +25,15 @@ def cut_at(text: Column, pattern: str) -> Column:
 
 def positions(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, number, title, position): every heading-like match, with its 0-based place in the text."""
-    parts = None
+    cuts = [F.struct(F.lit(kind).alias("kind"), cut_at(F.col("text"), pattern).alias("pieces")) for kind, pattern in PATTERNS.items()]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(F.array(*cuts)).alias("x")).where(F.size("x.pieces") > 1)
+    rows = rows.select("doc_id", "tk", "x.kind", F.posexplode("x.pieces").alias("i", "piece"))
+    number, title = F.lit(None), F.lit("")
     for kind, pattern in PATTERNS.items():
-        rows = docs.select("doc_id", "text", F.lit(kind).alias("kind"), cut_at(F.col("text"), pattern).alias("pieces"))
-        rows = rows.where(F.size("pieces") > 1).select("doc_id", "kind", F.xxhash64("text").alias("tk"), F.posexplode("pieces").alias("i", "piece"))
-        title = F.trim(F.regexp_extract("piece", "^" + pattern, 2)) if kind != "articles" else F.lit("")
-        rows = rows.select("doc_id", "kind", "tk", "i", F.regexp_extract("piece", "^" + pattern, 1).alias("number"), title.alias("title"), F.length("piece").alias("n"))
-        parts = rows if parts is None else parts.unionByName(rows)
+        number = F.when(F.col("kind") == kind, F.regexp_extract("piece", "^" + pattern, 1)).otherwise(number)
+        if kind != "articles":
+            title = F.when(F.col("kind") == kind, F.trim(F.regexp_extract("piece", "^" + pattern, 2))).otherwise(title)
+    parts = rows.select("doc_id", "kind", "tk", "i", number.alias("number"), title.alias("title"), F.length("piece").alias("n"))
     before = Window.partitionBy("doc_id", "tk", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = parts.withColumn("position", F.sum("n").over(before))
     return rows.where("i > 0").select("doc_id", "kind", "number", "title", "position")
