@@ -21,7 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Ordinary tokens: words of letters and plain numbers.
-ORDINARY = re.compile(r"\b(?:[A-Za-z]{6,}|[0-9]{6,})\b", re.A)
+ORDINARY = (re.compile(r"\b[A-Za-z]{6,}\b", re.A), re.compile(r"\b[0-9]{6,}\b", re.A))
 MIN_ASSIGN = 6
 LEARNED = "format"
 
@@ -59,7 +59,7 @@ class Automaton:
     """Deterministic probabilistic automaton from a prefix tree whose compatible states are merged.
 
     States are tried in breadth-first order against those already kept; two are compatible if the frequencies of
-    ending and of each next character, and of all their successors, differ by less than a Hoeffding bound.
+    ending, of each next character and of each class of characters, there and at all their successors, differ by less than a Hoeffding bound.
     """
 
     def __init__(self, words: Iterable[str], alpha: float = ALPHA):
@@ -87,6 +87,13 @@ class Automaton:
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
         return n and m and abs(x / n - y / m) > self.bound * (n**-0.5 + m**-0.5)
 
+    def _by_class(self, state: int) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for c, n in self.flow[state].items():
+            k = "digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else c
+            out[k] = out.get(k, 0) + n
+        return out
+
     def _compatible(self, a: int, b: int) -> bool:
         todo = [(a, b)]
         while todo:
@@ -94,6 +101,9 @@ class Automaton:
             n, m = self.total[a], self.total[b]
             if self._differ(self.ends[a], n, self.ends[b], m):
                 return False
+            one, two = self._by_class(a), self._by_class(b)
+            if any(self._differ(one.get(k, 0), n, two.get(k, 0), m) for k in one.keys() | two.keys()):
+                return False
             for c in self.flow[a].keys() | self.flow[b].keys():
                 if self._differ(self.flow[a].get(c, 0), n, self.flow[b].get(c, 0), m):
                     return False
@@ -163,7 +173,7 @@ class Model:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, base, cand, word): base spans, candidates and one ordinary token of each row."""
+    """(doc_id, base, cand, plain): base spans, candidates, and the longest word and number of each row."""
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,23 +185,26 @@ def detect(docs: DataFrame) -> DataFrame:
                 base.append([{"kind": KINDS[k], "start": s, "end": e, "value": v} for s, k, e, v in spans])
                 found = candidates(text, spans)
                 cand.append([{"kind": LEARNED, "start": s, "end": e, "value": v} for s, e, v in found])
-                plain.append(max(ORDINARY.findall(text), key=len, default=None))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(item)), pa.array(cand, pa.list_(item)), pa.array(plain, pa.string())],
+                plain.append([max(p.findall(text), key=len, default=None) for p in ORDINARY])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(item)), pa.array(cand, pa.list_(item)), pa.array(plain, pa.list_(pa.string()))],
                                              ["doc_id", "base", "cand", "plain"])
 
     ship_package(docs.sparkSession)
     kind, span = docs.schema["doc_id"].dataType.simpleString(), "array<struct<kind:string,start:int,end:int,value:string>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {span}, cand {span}, plain string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {span}, cand {span}, plain array<string>")
 
 
 def fit(found: DataFrame, sample: int = SAMPLE) -> Model:
     """Automata from at most ``sample`` labelled credentials of each kind (those with the smallest hashes), labelled by the
-    detector that found them, and as many ordinary tokens.  The bound keeps the fit small; it drops no row from the scan."""
+    detector that found them, and as many ordinary words and numbers.  The bound keeps the fit small; it drops no row from the scan."""
     values = found.select(F.explode("base").alias("x")).select("x.kind", "x.value").distinct()
     order = F.md5(F.concat_ws(":", "kind", "value"))
     credentials = {k: [r[0] for r in values.where(F.col("kind") == k).orderBy(order).limit(sample).select("value").collect()] for k in KINDS}
-    plain = found.select(F.col("plain").alias("value")).where("value IS NOT NULL").distinct()
-    return Model(credentials, [r[0] for r in plain.orderBy(F.md5("value")).limit(sample).collect()])
+    ordinary = []
+    for i in range(len(ORDINARY)):
+        plain = found.select(F.get("plain", F.lit(i)).alias("value")).where("value IS NOT NULL").distinct()
+        ordinary += [r[0] for r in plain.orderBy(F.md5("value")).limit(sample).collect()]
+    return Model(credentials, ordinary)
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
