@@ -13,7 +13,7 @@ WINDOW = 5
 #: Fences stand ``SPREAD`` interquartile ranges beyond the quartiles.
 SPREAD = 3
 #: metric -> (lower fence is never above, upper fence is never below); None: no such fence.
-METRICS = {"symbols": (None, 100), "word_length": (250, 1_200), "dup_lines": (None, 300), "repeats": (None, 100)}
+METRICS = {"symbols": (None, 100), "word_length": (250, 1_200), "dup_lines": (None, 500)}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -57,7 +57,7 @@ def metrics() -> dict[str, Column]:
     """Whole numbers per thousand (word_length: per hundred); null for rows without words."""
     words, lines = F.col("n_words"), F.col("n_text_lines")
     parts = {"symbols": (F.col("n_symbols") * 1000, words), "word_length": (F.col("word_chars") * 100, words),
-             "dup_lines": (F.col("n_dup_lines") * 1000, lines), "repeats": (F.col("n_repeat_words") * 1000, words)}
+             "dup_lines": (F.col("n_dup_lines") * 1000, lines)}
     return {k: F.when(d > 0, F.floor(a / d)).cast("long") for k, (a, d) in parts.items()}
 
 
@@ -137,19 +137,18 @@ rep AS (SELECT r, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n_repeat_words
         FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM g2) GROUP BY r),
 f AS (SELECT w.* EXCLUDE (words, wc), coalesce(wc, 0) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 m AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words END AS symbols, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words END AS word_length,
-        CASE WHEN n_text_lines > 0 THEN n_dup_lines * 1000 // n_text_lines END AS dup_lines, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS repeats FROM f),
-u AS (UNPIVOT m ON symbols, word_length, dup_lines, repeats INTO NAME metric VALUE v),
+        CASE WHEN n_text_lines > 0 THEN n_dup_lines * 1000 // n_text_lines END AS dup_lines FROM f),
+u AS (UNPIVOT m ON symbols, word_length, dup_lines INTO NAME metric VALUE v),
 b AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n FROM u GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM b),
 q AS (SELECT lang, source, metric, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
 t AS (SELECT lang, source,
         min(greatest(q3 + (q3 - q1) * 3, 100)) FILTER (metric = 'symbols') AS hs,
         min(greatest(q3 + (q3 - q1) * 3, 1200)) FILTER (metric = 'word_length') AS hl, min(least(q1 - (q3 - q1) * 3, 250)) FILTER (metric = 'word_length') AS ll,
-        min(greatest(q3 + (q3 - q1) * 3, 300)) FILTER (metric = 'dup_lines') AS hd,
-        min(greatest(q3 + (q3 - q1) * 3, 100)) FILTER (metric = 'repeats') AS hr FROM q GROUP BY ALL),
+        min(greatest(q3 + (q3 - q1) * 3, 500)) FILTER (metric = 'dup_lines') AS hd FROM q GROUP BY ALL),
 j AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         coalesce(symbols > hs, false) OR coalesce(word_length > hl, false) OR coalesce(word_length < ll, false)
-          OR coalesce(dup_lines > hd, false) OR coalesce(repeats > hr, false) AS beyond
+          OR coalesce(dup_lines > hd, false) AS beyond
       FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM j
 """
