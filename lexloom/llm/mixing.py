@@ -9,7 +9,7 @@ from lexloom.llm.common import WORD, shared_table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 4_096
 
 
 def word_count(text):
