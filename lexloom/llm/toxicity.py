@@ -25,6 +25,8 @@ PRIOR = 10.0
 MIN_DOCS = 4
 #: Least signed root of the likelihood ratio of a feature's documents, toxic against other.
 MIN_Z = 4.5
+#: Least log-odds: a feature that is merely more frequent in one language or topic is no sign of toxicity.
+MIN_WEIGHT = 3.6
 MAX_WEIGHT = 6.0
 STEMS = (5, 4)
 
@@ -106,7 +108,7 @@ def _log_odds(counts: dict[str, tuple[int, int]], n_docs: int, n_toxic: int) ->
         delta = math.log((y + a) / (n_toxic - y + a)) - math.log((x + a) / (n_clean - x + a))
         usual = c * n_toxic / n_docs
         ratio = 2 * (y * math.log(y / usual) + (x * math.log(x / (c - usual)) if x else 0.0))
-        if y > usual and ratio >= MIN_Z**2:
+        if delta >= MIN_WEIGHT and y > usual and ratio >= MIN_Z**2:
             out[w] = min(delta, MAX_WEIGHT)
     return out
 
