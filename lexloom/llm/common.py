@@ -37,9 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def shared_table(df: DataFrame, name: str, most: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``most`` is a count that its rows cannot exceed, where one is known: the table then has a file for every ``per_file`` of them and not one
+    for every shuffle partition.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // per_file)))
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        rows = shared_table(small.where("a <> b").distinct(), "edges")
+        rows = shared_table(small.where("a <> b").distinct(), "edges", 2 * state[0])
         after = _digest(rows)
         if after == state:
             break

@@ -111,13 +111,14 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     two = viable(F.col("hub").bitwiseXOR(F.col("top")), F.col("ring"), max_bits)  # decides a bucket of two without a join
     hubs = hubs.where((F.col("n") > 2) | two).drop("n", "top")
     rows = shared_table(filed.join(hubs, ["ring", "key"]), "ring-buckets")
+    n = rows.count()
     x = F.col("fp").bitwiseXOR(F.col("hub"))
     edges = shared_table(rows.where((F.col("fp") != F.col("hub")) & viable(x, F.col("ring"), max_bits)).select(
-        F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "hub-links")
-    labels = shared_table(components(edges), "hub-labels")
+        F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "hub-links", n)
+    labels = shared_table(components(edges), "hub-labels", n)
     rows = rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")).drop("hub")
     mixed = rows.groupBy("ring", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    rows = shared_table(rows.join(mixed, ["ring", "key"]), "mixed-buckets")
+    rows = shared_table(rows.join(mixed, ["ring", "key"]), "mixed-buckets", n)
     other = rows.withColumnsRenamed({"fp": "fp2", "label": "label2"})
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
     pairs = rows.join(other, ["ring", "key"]).where((F.col("label") < F.col("label2")) & viable(x, F.col("ring"), max_bits))
