@@ -35,7 +35,7 @@ def ship_package(spark: SparkSession) -> None:
     Functions of a package are pickled by name; workers that were not started with it on their path need a copy.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
