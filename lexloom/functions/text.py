@@ -10,6 +10,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.functions.arrays import bind
 from lexloom.session import ship_package
 
 #: Fixed value: the characters that Unicode-aware stripping removes.
@@ -69,8 +70,15 @@ def clean(c: Column, unicode: bool = True) -> Column:
 
 def expand_abbreviations(c: Column) -> Column:
     """``Art.5`` -> ``Article5`` and so on; an abbreviation stays if its long form already occurs anywhere."""
+    def expand(x: Column, short: str, long: str) -> Column:
+        stays = F.contains(x, F.lit(long)) | ~F.contains(x, F.lit(f"{short}."))
+        return F.when(stays, x).otherwise(F.regexp_replace(x, rf"\b{short}\.\b", long))
+
+    def step(short: str, long: str):
+        return lambda x: expand(x, short, long)
+
     for short, long in ABBREVIATIONS:
-        c = F.when(F.contains(c, F.lit(long)), c).otherwise(F.regexp_replace(c, rf"\b{short}\.\b", long))
+        c = bind(c, step(short, long))
     return c
 
 
@@ -80,8 +88,11 @@ def article_references(c: Column) -> Column:
 
 def currency(c: Column) -> Column:
     """``AED 10,000`` -> ``AED 10000``; a comma right behind the amount goes too."""
-    c = F.regexp_replace(c, r"(?<=AED\s{0,8}[\d,]{0,40}),", "")
-    return F.regexp_replace(c, r"AED\s*(\d+)", "AED $1")
+    def rewrite(x: Column) -> Column:
+        plain = F.regexp_replace(x, r"(?<=AED\s{0,8}[\d,]{0,40}),", "")
+        return F.when(F.contains(x, F.lit("AED")), F.regexp_replace(plain, r"AED\s*(\d+)", "AED $1")).otherwise(x)
+
+    return bind(c, rewrite)
 
 
 def range_dashes(c: Column) -> Column:
@@ -99,8 +110,6 @@ def tokens(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Split behind . ! ? before a capital or digit; a first sentence under 20 characters takes the next ones in."""
-    from lexloom.functions.arrays import bind
-
     parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9])", -1), strip), lambda x: x != "")
 
     def merged(s: Column) -> Column:
