@@ -71,9 +71,9 @@ def text_key(text: Column) -> Column:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, tk): each row of ``docs`` as one struct beside what operators look at, so that no column of ``docs`` can clash
+    """(row, doc_id, tk): each row of ``docs`` as one struct beside what operators look at, so that no column of ``docs`` can clash
     with a working column; ``select("row.*")`` gives it back."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", text_key(F.col("text")).alias("tk"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_key(F.col("text")).alias("tk"))
 
 
 def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -196,7 +196,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     drops = frequent_lines(docs.select("doc_id", "text"), min_docs, min_chars, **sizes)
     drops = drops.withColumnsRenamed({"doc_id": "key_id", "tk": "key_tk"})
     rows = packed(docs).join(drops, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("tk") == F.col("key_tk")), "left")
-    lines = _lines(F.col("text"))
+    lines = _lines(F.col("row.text"))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(
         bind(F.col("drops"), lambda d: F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(d, F.xxhash64(line_key(x))))))
     rows = rows.withColumn("kept", kept)
