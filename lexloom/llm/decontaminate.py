@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, an upper bound of the score, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +14,10 @@ from lexloom.llm.common import matching, packed, shared_table, text_key
 from lexloom.session import ship_package
 
 SEED_WORDS = 3
-#: A seed is rare if at most this share of the documents (or ``RARE_DOCS`` documents) holds it.
-RARE_SHARE = 0.001
-RARE_DOCS = 5
-#: Seeds of any frequency on one diagonal that make a candidate without a rare one.
-CHAIN = 3
 BAND = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
+#: An alignment also scores as much as this many words (shorter items: as all their words), so that half of a short item is not enough.
 MIN_WORDS = 8
 #: Words of benchmark items that go to the executors at once.
 BLOCK_WORDS = 200_000
@@ -50,6 +45,13 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most(item: np.ndarray, window: np.ndarray) -> int:
+    """No alignment of ``item`` with ``window`` scores more: an item's word counts as a match if it stands anywhere in the
+    window, else as the cheaper of a mismatch and a gap; the best run of words is taken."""
+    run = np.concatenate(([0], np.where(np.isin(item, window), MATCH, max(MISMATCH, GAP)).cumsum()))
+    return int((run - np.minimum.accumulate(run)).max())
+
+
 class Block:
     """Some benchmark items: word numbers, seeds and their places."""
 
@@ -99,28 +101,29 @@ class Block:
         ok = self.keys[i] == x
         return at[ok], i[ok]
 
-    def leaks(self, words: np.ndarray, rare: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
+    def leaks(self, words: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
         """(item number, score, start word, end word) of the best alignment of each item that scores enough."""
         at, seed = self.hits(words)
         if not len(at):
             return []
         each = np.repeat(np.arange(len(at)), self.times[seed])
         post = self.first[seed][each] + np.arange(len(each)) - np.repeat(np.cumsum(self.times[seed]) - self.times[seed], self.times[seed])
-        item, diagonal, is_rare, place = self.owner[post], at[each] - self.place[post], rare[seed][each], self.place[post]
+        item, diagonal = self.owner[post], at[each] - self.place[post]
         order = np.lexsort((diagonal, item))
-        item, diagonal, is_rare, place = item[order], diagonal[order], is_rare[order], place[order]
+        item, diagonal = item[order], diagonal[order]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > BAND)) + 1
         best: dict[int, tuple[float, int, int]] = {}
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True):
-            if not is_rare[a:b].any() and (b - a < CHAIN or len(np.unique(place[a:b])) < CHAIN):
-                continue
             i = int(item[a])
             target = self.words[i]
             low, high = max(0, int(diagonal[a]) - BAND), int(diagonal[b - 1]) + len(target) + BAND
             window = words[low:high]
+            full, least = MATCH * len(target), MATCH * min(MIN_WORDS, len(target))
+            if (top := most(target, window)) < least or top / full < min_score:
+                continue
             raw, end = align(target, window)
-            score = raw / (MATCH * len(target))
-            if score >= min_score and raw >= MATCH * min(MIN_WORDS, len(target)) and score > best.get(i, (0.0,))[0]:
+            score = raw / full
+            if score >= min_score and raw >= least and score > best.get(i, (0.0,))[0]:
                 _, back = align(target[::-1], window[:end][::-1])
                 best[i] = (score, low + end - back, low + end)
         return [(i, *x) for i, x in sorted(best.items())]
@@ -143,12 +146,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     """(doc_id, tk, item_id, score, start_word, end_word): documents that hold an edited or exact copy of a benchmark item.
 
     The items are a stated query set, taken in blocks of bounded size that every executor gets.  For each block one pass over
-    all documents counts how many hold each seed (three words of an item), a second one finds candidate diagonals, those with a rare seed
-    or at least three seeds, and aligns the item with that stretch of the text.  A seed common only because its item was
-    copied very often still has its neighbours on the same diagonal, so nothing is lost.  No document text is shuffled.
+    all documents finds the diagonals with a seed (three words of an item in a row) and aligns the item with that stretch of the text, unless
+    :func:`most` shows that the score cannot be enough.  A row's result depends on its own text alone, not on how often others copy the
+    item.  A copy that keeps no three words in a row is not found.  No document text is shuffled.
 
-    ``score`` is the local alignment score as a share of the item's own; pairs of at least ``min_score`` are returned, the best
-    alignment for each row and item.  Null, empty and short texts hold nothing; items without words are ignored; repeated rows are
+    ``score`` is the local alignment score as a share of the item's own; pairs of at least ``min_score`` whose alignment is also worth
+    ``MIN_WORDS`` matching words (all words of a shorter item) are returned, the best alignment for each row and item.  Null, empty and short texts hold nothing; items without words are ignored; repeated rows are
     reported alike; empty tables give no rows; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -159,25 +162,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     for block in _blocks(benchmark, block_words):
         sent = spark.sparkContext.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            n, held = 0, Counter()
-            for b in batches:
-                for t in b.column(0):
-                    n += 1
-                    held.update(set(sent.value.hits(sent.value.read(t.as_py()))[1].tolist()))
-            yield pa.RecordBatch.from_pydict({"seed": [-1, *held], "n": pa.array([n, *held.values()], pa.int64())})
-
-        seen = {r[0]: r[1] for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()}
-        most = max(RARE_DOCS, RARE_SHARE * seen.pop(-1, 0))
-        rare = np.ones(len(block.keys), bool)
-        rare[[s for s, n in seen.items() if n > most]] = False
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent, rare=rare) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for b in batches:
                 at, got = [], []
                 for i, t in enumerate(b.column(2)):
-                    for x in block.leaks(block.read(t.as_py()), rare, min_score):
+                    for x in block.leaks(block.read(t.as_py()), min_score):
                         at.append(i)
                         got.append(x)
                 some = b.take(pa.array(at, pa.int64()))

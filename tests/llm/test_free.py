@@ -228,6 +228,23 @@ def test_alignment(a, b):
     assert got == plain_align(a, b) and (not got or plain_align(a, b[:end]) == got)
 
 
+@settings(max_examples=200)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.lists(st.integers(-1, 5), min_size=1, max_size=25))
+def test_no_alignment_scores_more_than_the_bound(a, b):
+    assert decontaminate.most(np.array(a), np.array(b)) >= plain_align(a, b)
+
+
+def test_edited_copies_are_found_however_often_others_copy(spark):
+    item = [f"word{c}" for c in "abcdefghijklmn"]
+    edited = ["x" if k in (2, 6, 9, 13) else w for k, w in enumerate(item)]  # keeps two runs of three words
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for copies in (0, 3, 40):
+        rows = [(0, " ".join(["before", *edited, "after"]))] + [(i, " ".join(item)) for i in range(1, copies + 1)]
+        got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert {r.doc_id for r in got} == set(range(copies + 1))
+        assert [(r.score, r.start_word, r.end_word) for r in got if r.doc_id == 0] == [(17 / 28, 1, 14)]
+
+
 def test_leaks(spark, odd, none, docs):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefghijkl"), 5))
