@@ -118,29 +118,65 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None =
     return rows.mapInArrow(run, "call_id string, level long, status string, valid boolean, errors string, json string")
 
 
-def turn_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turn_calls(conversations: DataFrame, system: bool = False) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a conversation's turns stand for.
 
     A user turn calls ``reply`` with its text as prompt; the result is the text of the next assistant turn of the conversation, if no
     other user turn comes between.  Each call follows the previous user turn's call.  Turns that repeat a (conversation, number) count once, by the
-    smallest role and text; turns without number or conversation are left out.
+    smallest role and text; turns without number or conversation are left out, and so are those of other roles than user and assistant.  With
+    ``system`` the text of the last system turn before a user turn is its call's argument of that name.
     """
     rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x")).select("conv_id", "turn", "x.*")
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     user = F.last(F.when(F.col("role") == "user", name), ignorenulls=True).over(before)
     answered = F.last(F.when(F.col("role").isin("user", "assistant"), F.col("role")), ignorenulls=True).over(before)
-    rows = shared_table(rows.select("role", F.coalesce("text", F.lit("")).alias("text"), name.alias("call_id"), user.alias("user"), answered.alias("previous")), "turns")
-    calls = rows.where("role = 'user'").select("call_id", F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"), F.col("user").alias("after"))
+    text = F.coalesce("text", F.lit(""))
+    governs = F.last(F.when(F.col("role") == "system", text), ignorenulls=True).over(before)
+    extra = [governs.alias("system")] if system else []
+    rows = shared_table(rows.select("role", text.alias("text"), name.alias("call_id"), user.alias("user"), answered.alias("previous"), *extra), "turns")
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), *(["system"] if system else [])))
+    calls = rows.where("role = 'user'").select("call_id", F.lit("reply").alias("name"), arguments.alias("arguments"), F.col("user").alias("after"))
     results = rows.where("role = 'assistant'").select(F.when(F.col("previous") == "user", F.col("user")).otherwise(F.concat(F.lit("stray:"), "call_id")).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def link_turns(conversations: DataFrame) -> DataFrame:
-    """:func:`link` on the calls and results of :func:`turn_calls`; null text is empty."""
+    """:func:`link` on the calls and results of :func:`turn_calls`; null text is empty, turns of other roles are in no row."""
     return link(*turn_calls(conversations))
 
 
+def link_all_turns(conversations: DataFrame) -> DataFrame:
+    """Every turn: :func:`link_turns` with the governing system turn in the arguments, and rows for the turns that are no call or result.
+
+    Those have status system, unlinked (another role, or none), repeated (a further turn with this conversation and number) or unplaced (no
+    conversation or number), no level, and their role and text as json.  ``n_turns`` is the number of input turns a row stands for; its sum is
+    the number of input rows.
+    """
+    turns = conversations.select("conv_id", "turn", "role", "text")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    kinds = shared_table(turns.where(placed).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_turns")), "turn-kinds")
+    same = F.struct("role", "text")
+    first = kinds.groupBy("conv_id", "turn").agg(F.min(same).alias("first"), F.sum("n_turns").alias("n"))
+    lone = first.where(~F.coalesce(F.col("first.role").isin("user", "assistant"), F.lit(False))).select(
+        "conv_id", "turn", "first.role", "first.text", F.lit(1).cast("long").alias("n_turns"), F.when(F.col("first.role") == "system", "system").otherwise("unlinked").alias("status"))
+    again = kinds.join(first.where("n > 1"), ["conv_id", "turn"]).withColumn("n_turns", F.col("n_turns") - same.eqNullSafe(F.col("first")).cast("long"))
+    again = again.where("n_turns > 0").select("conv_id", "turn", "role", "text", "n_turns", F.lit("repeated").alias("status"))
+    stray = turns.where(~placed).withColumns({"n_turns": F.lit(1).cast("long"), "status": F.lit("unplaced")})
+    name = F.when(placed, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    others = lone.unionByName(again).unionByName(stray).select(name.alias("call_id"), "status", "role", "text", "n_turns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [canonical({"id": r["call_id"], "role": r["role"], "text": r["text"]}) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["call_id"], pa.nulls(len(b), pa.int64()), b["status"], pa.array([False] * len(b), pa.bool_()), pa.array([""] * len(b), pa.string()), pa.array(text, pa.string()), b["n_turns"]],
+                                             ["call_id", "level", "status", "valid", "errors", "json", "n_turns"])
+
+    linked = link(*turn_calls(kinds, system=True))
+    linked = linked.withColumn("n_turns", F.when(F.col("status") == "linked", 2).otherwise(1).cast("long"))
+    return linked.unionByName(others.mapInArrow(run, "call_id string, level long, status string, valid boolean, errors string, json string, n_turns long"))
+
+
 ORACLE = """
 WITH r AS (SELECT conv_id, turn, min(row(coalesce(role, ''), coalesce(text, ''))) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 t AS (SELECT conv_id, turn, x[1] AS role, x[2] AS text, conv_id || ':' || turn AS id FROM r),
@@ -160,3 +196,31 @@ SELECT call_id, CASE WHEN is_call THEN level END::BIGINT AS level,
          || ',"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
 FROM j
 """
+
+#: The same for :func:`link_all_turns`.
+TURNS_ORACLE = """
+WITH k AS (SELECT conv_id, turn, role, text, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, conv_id || ':' || turn AS id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS place FROM k),
+t AS (SELECT conv_id, turn, role, text, id FROM p WHERE place = 1),
+w AS (SELECT * REPLACE (coalesce(text, '') AS text), last_value(CASE WHEN role = 'user' THEN id END IGNORE NULLS) OVER b AS usr,
+        last_value(CASE WHEN role IN ('user', 'assistant') THEN role END IGNORE NULLS) OVER b AS previous,
+        last_value(CASE WHEN role = 'system' THEN coalesce(text, '') END IGNORE NULLS) OVER b AS sys,
+        count(*) FILTER (role = 'user') OVER b AS level
+      FROM t WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT id, text, usr, sys, level FROM w WHERE role = 'user'),
+a AS (SELECT CASE WHEN previous = 'user' THEN usr ELSE 'stray:' || id END AS id, text FROM w WHERE role = 'assistant'),
+j AS (SELECT coalesce(c.id, a.id) AS call_id, c.level, c.text AS prompt, c.usr, c.sys, a.text AS content, c.id IS NOT NULL AS is_call, a.id IS NOT NULL AS is_result
+      FROM c FULL JOIN a ON c.id = a.id),
+o AS (SELECT id, CASE WHEN role = 'system' THEN 'system' ELSE 'unlinked' END AS status, role, text, 1 AS n_turns FROM t WHERE coalesce(role, '') NOT IN ('user', 'assistant')
+      UNION ALL SELECT id, 'repeated', role, text, n - (place = 1)::BIGINT FROM p WHERE n > (place = 1)::BIGINT
+      UNION ALL SELECT NULL, 'unplaced', role, text, 1 FROM conversations WHERE conv_id IS NULL OR turn IS NULL)
+SELECT call_id, CASE WHEN is_call THEN level END::BIGINT AS level,
+       CASE WHEN NOT is_call THEN 'orphan' WHEN NOT is_result THEN 'pending' ELSE 'linked' END AS status,
+       is_call AND length(prompt) BETWEEN 1 AND 400 AS valid,
+       CASE WHEN is_call AND length(prompt) < 1 THEN '$.prompt: shorter than 1' WHEN is_call AND length(prompt) > 400 THEN '$.prompt: longer than 400' ELSE '' END AS errors,
+       '{"call":' || CASE WHEN is_call THEN '{"after":' || coalesce(to_json(usr)::VARCHAR, 'null') || ',"arguments":{"prompt":' || to_json(prompt) || coalesce(',"system":' || to_json(sys), '') || '},"name":"reply"}' ELSE 'null' END
+         || ',"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json,
+       CASE WHEN is_call AND is_result THEN 2 ELSE 1 END::BIGINT AS n_turns
+FROM j
+UNION ALL SELECT id, NULL, status, false, '', '{"id":' || coalesce(to_json(id)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}', n_turns::BIGINT FROM o
+"""

@@ -38,6 +38,10 @@ def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.link_turns(conversations(spark, sf))
 
 
+def op4_chat_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.link_all_turns(conversations(spark, sf))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(documents(spark, sf), labels(spark, sf)).select("doc_id", "held_out", "score", "predicted", "n_segments")
 
@@ -63,13 +67,14 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_chat, op5_toxicity, op6_simhash, op7_quality, op8_mixing, op9_secret_scan, op10_decontaminate)}
+    f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_chat, op4_chat_turns, op5_toxicity, op6_simhash, op7_quality, op8_mixing, op9_secret_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op2_license_scan": license_scan.oracle(),
     "op3_warc": warc.ORACLE.format(pages="pages"),
     "op4_chat": chat.ORACLE,
+    "op4_chat_turns": chat.TURNS_ORACLE,
     "op7_quality": quality.ORACLE.format(documents="documents"),
     "op8_mixing": mixing.ORACLE.format(documents="documents"),
 }

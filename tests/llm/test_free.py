@@ -118,6 +118,21 @@ def test_turns_with_nulls(spark):
     assert chat.link_turns(df.limit(0)).count() == 0
 
 
+def test_every_turn_is_accounted_for(spark, sf):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "q"), (1, 1, "user", "q"), (1, 1, "zz", None), (1, 2, "assistant", "r"), (1, 3, "system", None), (1, 4, "user", "p"), (1, 5, "tool", "t"), (1, 6, "assistant", "s"),
+            (2, 1, None, None), (2, 2, "user", "alone"), (None, 1, "user", "x"), (2, None, None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, call_id string")
+    got = chat.link_all_turns(df).collect()
+    assert sorted((r.call_id or "", r.status, r.n_turns) for r in got) == [
+        ("", "unplaced", 1), ("", "unplaced", 1), ("1:0", "system", 1), ("1:1", "linked", 2), ("1:1", "repeated", 1), ("1:1", "repeated", 1), ("1:3", "system", 1), ("1:4", "linked", 2), ("1:5", "unlinked", 1), ("2:1", "unlinked", 1), ("2:2", "pending", 1)]
+    args = {r.call_id: json.loads(r.json)["call"]["arguments"] for r in got if r.status in ("linked", "pending")}
+    assert args == {"1:1": {"prompt": "q", "system": "be brief"}, "1:4": {"prompt": "p", "system": ""}, "2:2": {"prompt": "alone"}}
+    assert '{"id":"1:0","role":"system","text":"be brief"}' in {r.json for r in got}
+    assert sum(r.n_turns for r in got) == len(rows) and chat.link_all_turns(df.limit(0)).count() == 0
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    assert chat.link_all_turns(table).agg(F.sum("n_turns")).first()[0] == table.count()
+
+
 # Secrets
 
 def plain_secrets(text):
