@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.operators import chunking, dense, embedding, evaluate
+from lexloom.operators import chunking, dense, embedding, evaluate, generation
 from lexloom.plans import rag
 from lexloom.session import build_session
 from lexloom.sources import readers, sinks
@@ -31,8 +31,8 @@ const j=await r.json();a.textContent=j.error||j.answer+'\\n\\nconfidence '+Math.
 class Service:
     """Questions against one collection."""
 
-    def __init__(self, spark: SparkSession, store: str, config: EngineConfig | None = None):
-        self.spark, self.config = spark, config or EngineConfig.from_env()
+    def __init__(self, spark: SparkSession, store: str, config: EngineConfig | None = None, model: generation.TextModel | None = None):
+        self.spark, self.config, self.model = spark, config or EngineConfig.from_env(), model
         self.collection = sinks.Collection(spark, store, self.config.collection)
         self.embedder = embedding.HashingEmbedder(self.config.embedding_dimension)
 
@@ -46,11 +46,11 @@ class Service:
         return {**self.collection.stats(), **stats}
 
     def responses(self, queries: DataFrame) -> DataFrame:
-        """(query_id, query, answer, confidence, sources) of each query."""
+        """(query_id, query, answer, confidence, flags, sources) of each query."""
         chunks = self.collection.read()
         vectors = embedding.embed(queries, self.embedder, "query")
         found = dense.retrieve(chunks, vectors, self.config.top_k, self.config.similarity_threshold, id_col="chunk_id")
-        answers = rag.answer(chunks, queries, found)
+        answers = rag.answer(chunks, queries, found, self.model)
         have = [c for c in ("article_number", "law_name", "source", "text") if c in chunks.columns]
         sources = found.join(chunks.select("chunk_id", *have), "chunk_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "chunk_id", *have))).alias("sources"))
         return answers.join(sources, "query_id", "left")
@@ -67,7 +67,7 @@ class Service:
         got = self.responses(numbered.select("query_id", "query")).join(numbered.select("query_id", "id"), "query_id")
         sources = F.transform(F.coalesce("sources", F.array().cast("array<struct<rank:bigint,score:double,chunk_id:string,article_number:string,law_name:string,source:string,text:string>>")),
                               lambda s: F.struct(s["article_number"].alias("article_number"), s["law_name"].alias("law_name"), s["source"].alias("source"), s["text"].alias("text")))
-        got = got.select("id", "answer", sources.alias("sources"), F.array().cast("array<string>").alias("flags"), F.lit(None).cast("string").alias("error"))
+        got = got.select("id", "answer", sources.alias("sources"), "flags", F.lit(None).cast("string").alias("error"))
         return evaluate.per_query(asked, readers.ground_truth(self.spark, truth), got)
 
 

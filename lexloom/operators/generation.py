@@ -86,6 +86,30 @@ def parse_flags(raw: Column) -> Column:
         F.coalesce(F.from_json(F.when(body.startswith("["), body), "array<string>"), F.array().cast("array<string>")))
 
 
+class _Lenient:
+    """A model whose failed calls give an empty reply."""
+
+    def __init__(self, model: TextModel):
+        self.model = model
+
+    def complete(self, prompt: str) -> str:
+        try:
+            return self.model.complete(prompt)
+        except Exception:  # noqa: BLE001  a failed check flags nothing
+            return ""
+
+
+def check(answers: DataFrame, model: TextModel) -> DataFrame:
+    """(query_id, answer, flags) from (query_id, context, answer): what the model finds unsupported, by one more call for each row.
+
+    A reply that is no JSON array, and a call that fails, give no flags.
+    """
+    before, rest = CHECK_PROMPT.split("{context}")
+    middle, after = rest.split("{answer}")
+    asked = answers.select("query_id", F.col("answer").alias("checked"), F.concat(F.lit(before), "context", F.lit(middle), "answer", F.lit(after)).alias("prompt"))
+    return generate(asked, _Lenient(model)).select("query_id", F.col("checked").alias("answer"), parse_flags(F.col("answer")).alias("flags"))
+
+
 def confidence(mean_score: Column, flagged: Column) -> Column:
     """Mean score within [0, 1], times 0.7 if the answer was flagged, to four digits; 0 without sources."""
     return F.round(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean_score)), F.lit(0.0)) * F.when(flagged, FLAGGED).otherwise(1.0), 4)

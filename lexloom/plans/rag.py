@@ -26,21 +26,26 @@ def hybrid(chunks: DataFrame, queries: DataFrame, embedder=None, config: EngineC
     return fusion.reciprocal_rank(near, words, "chunk_id", config.dense_weight, config.rrf_k, config.top_k)
 
 
-def answer(chunks: DataFrame, queries: DataFrame, retrieved: DataFrame, model: generation.TextModel | None = None, style: str = "default") -> DataFrame:
-    """(query_id, query, answer, confidence, source_count, context) for every query at once.
+def answer(chunks: DataFrame, queries: DataFrame, retrieved: DataFrame, model: generation.TextModel | None = None, style: str = "default", check: bool = True) -> DataFrame:
+    """(query_id, query, answer, confidence, source_count, context, flags) for every query at once.
 
     ``retrieved`` has query_id, chunk_id, score and rank.  Without a model the best retrieved sentence is the answer; a query without sources
-    gets the canned answer and confidence 0.
+    gets the canned answer and confidence 0.  A model also checks its answers, unless ``check`` is false: ``flags`` are the statements it finds
+    unsupported, and a flagged answer's confidence is lower.
     """
     have = set(chunks.columns)
     meta = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("law_name", "source", "article_number")]
     rows = retrieved.join(chunks.select("chunk_id", "text", *meta), "chunk_id").join(queries, "query_id")
     found = generation.context(rows).join(rows.groupBy("query_id").agg(F.avg("score").alias("mean_score"), F.count("*").alias("source_count")), "query_id")
     if model is None:
-        answers = generation.extractive_answers(rows).select("query_id", "answer")
+        answers = generation.extractive_answers(rows)
     else:
         asked = found.join(queries, "query_id").withColumn("prompt", generation.prompt(F.col("context"), F.col("query"), style))
-        answers = generation.generate(asked.select("query_id", "prompt"), model).select("query_id", "answer")
+        answers = generation.generate(asked.select("query_id", "context", "prompt"), model)
+        answers = generation.check(answers, model) if check else answers
+    flags = F.col("flags") if "flags" in answers.columns else F.array().cast("array<string>").alias("flags")
+    answers = answers.select("query_id", "answer", flags)
     out = queries.join(found, "query_id", "left").join(answers, "query_id", "left")
+    flags = F.coalesce("flags", F.array().cast("array<string>"))
     return out.select("query_id", "query", F.coalesce("answer", F.lit(generation.NO_ANSWER)).alias("answer"),
-                      generation.confidence(F.col("mean_score"), F.lit(False)).alias("confidence"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "context")
+                      generation.confidence(F.col("mean_score"), F.size(flags) > 0).alias("confidence"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "context", flags.alias("flags"))

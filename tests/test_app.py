@@ -7,6 +7,7 @@ from http.server import HTTPServer
 import pytest
 
 from lexloom import app, models
+from lexloom.operators import evaluate
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +49,28 @@ def test_evaluate(service, tmp_path):
     assert not r.failed and r.context_recall == 1.0 and r.faithfulness == 1.0
 
 
+class Checking:
+    def complete(self, prompt):
+        return '["it is free"]' if prompt.startswith("List, as a JSON array") else "Theft is punished by a fine and it is free."
+
+
+class Failing(Checking):
+    def complete(self, prompt):
+        if prompt.startswith("List"):
+            raise OSError("no reply")
+        return super().complete(prompt)
+
+
+def test_model_checks_its_answers(spark, service, tmp_path):
+    ask = lambda model: app.Service(spark, service.collection.path.rpartition("/")[0], service.config, model).ask("theft is punished by a fine")
+    checked, failed = ask(Checking()), ask(Failing())
+    assert checked["answer"] == failed["answer"] and checked["confidence"] == pytest.approx(0.7 * failed["confidence"], abs=2e-3) and failed["confidence"] > 0
+    (tmp_path / "q.json").write_text(json.dumps([{"id": "1", "query": "theft is punished by a fine", "category": "simple", "difficulty": "easy", "expected_articles": ["1"]}]))
+    (tmp_path / "t.json").write_text("[]")
+    scored = app.Service(spark, service.collection.path.rpartition("/")[0], service.config, Checking()).evaluate(str(tmp_path / "q.json"), str(tmp_path / "t.json"))
+    assert evaluate.flagged(scored).count() == 1
+
+
 def test_models():
     assert models.text_model("ollama", model="m").model == "m"
     with pytest.raises(ValueError):
