@@ -103,6 +103,7 @@ def per_query(queries: DataFrame, truth: DataFrame, responses: DataFrame) -> Dat
 
     ``queries`` (id, query, category, difficulty, expected_articles), ``truth`` (query_id, relevant_articles) and ``responses`` (id, answer,
     sources as structs, flags, error).  A query's own expected articles come first; a failed or missing response scores 0 throughout.
+    A ``response_time`` of the responses is kept.
     """
     rows = queries.join(truth.select(F.col("query_id").alias("id"), "relevant_articles"), "id", "left").join(responses, "id", "left")
     relevant = F.when(F.size("expected_articles") > 0, F.col("expected_articles")).otherwise(F.coalesce("relevant_articles", F.array().cast("array<string>")))
@@ -111,7 +112,8 @@ def per_query(queries: DataFrame, truth: DataFrame, responses: DataFrame) -> Dat
               "context_precision": context_precision(F.col("sources"), relevant), "context_recall": context_recall(F.col("sources"), relevant),
               "citation_accuracy": citation_accuracy(F.col("answer"), context)}
     failed = F.col("answer").isNull() | F.col("error").isNotNull()
-    return rows.select("id", "query", "category", "difficulty", "flags", failed.alias("failed"), *[F.when(failed, F.lit(0.0)).otherwise(v).alias(k) for k, v in values.items()])
+    times = ["response_time"] if "response_time" in responses.columns else []
+    return rows.select("id", "query", "category", "difficulty", "flags", failed.alias("failed"), *[F.when(failed, F.lit(0.0)).otherwise(v).alias(k) for k, v in values.items()], *times)
 
 
 def overall(scored: DataFrame, metrics=METRICS) -> DataFrame:

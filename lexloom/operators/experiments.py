@@ -53,9 +53,10 @@ def prompts(evaluate: Callable[[str], DataFrame], styles=tuple(PROMPTS)) -> Data
 
 
 def evaluate_config(scored: DataFrame) -> DataFrame:
-    """Means of the metrics and of the response time over the first ten queries; failed ones are left out here."""
+    """Means of the metrics over the first ten queries, and of the response time where ``scored`` has it; failed ones are left out here."""
     rows = scored.orderBy("id").limit(MAX_QUERIES).where(~F.col("failed"))
-    return rows.agg(*[rounded_mean(F.col(m)).alias(m) for m in METRICS])
+    times = [rounded_mean(F.col("response_time")).alias("avg_response_time")] if "response_time" in scored.columns else []
+    return rows.agg(*[rounded_mean(F.col(m)).alias(m) for m in METRICS], *times)
 
 
 def run_all(experiments: dict[str, DataFrame]) -> DataFrame:

@@ -59,6 +59,15 @@ def test_run_evaluation(spark):
     assert experiments.evaluate_config(scored).first().faithfulness == 1.0
 
 
+def test_mean_response_time(spark):
+    q = spark.createDataFrame([(i, "How is theft punished?", None, None, None) for i in "123"], "id string, query string, category string, difficulty string, expected_articles array<string>")
+    truth = spark.createDataFrame([], "query_id string, relevant_articles array<string>")
+    responses = spark.createDataFrame([("1", "Theft.", None, None, None, 1.0), ("2", "Theft.", None, None, None, 2.0), ("3", None, None, None, "lost", 50.0)],
+                                      f"id string, answer string, sources {evaluate.RETRIEVED}, flags array<string>, error string, response_time double")
+    assert experiments.evaluate_config(evaluate.per_query(q, truth, responses)).first().avg_response_time == 1.5
+    assert "avg_response_time" not in experiments.evaluate_config(evaluate.per_query(q, truth, responses.drop("response_time"))).columns
+
+
 def test_sweeps(spark):
     docs = spark.createDataFrame([(1, "x" * 3000)], "doc_id long, text string")
     table = experiments.run_all({"sizes": experiments.chunk_sizes(docs)})
