@@ -51,7 +51,7 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.judge(documents(spark, sf)).drop("tk")
+    return quality.judge(documents(spark, sf))
 
 
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """License scans, quality rules and mixing on hand-made rows."""
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -42,11 +41,46 @@ def test_quality_keeps(odd, none, docs):
     assert quality.judge(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
-def test_symbols_far_beyond_the_group_are_rejected(spark):
-    plain = [(i, " ".join(f"word{i}x{k}" for k in range(60)), "en", "a", 1) for i in range(40)]
-    noisy = [(99, " ".join(f"a{k} |" for k in range(60)), "en", "a", 1)]
-    df = spark.createDataFrame(plain + noisy, "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in quality.judge(df).where("NOT kept").collect()} == {99}
+def prose(i, n=60, extra=0):
+    """``n`` words that hold ``extra`` symbols among them."""
+    return " ".join(f"word{i}x{k}" + "|" * (extra // n + (k < extra % n)) for k in range(n))
+
+
+def test_fences_follow_the_group(spark):
+    """What is usual in one source is far beyond the fence of another; no cutoff is the same for all."""
+    rows = [(i, prose(i), "en", "news", 1) for i in range(300)] + [(1000 + i, prose(i, extra=20 + i % 9), "en", "code", 1) for i in range(300)]
+    rows += [(5000, prose(1, extra=25), "en", "news", 1), (5001, prose(1, extra=25), "en", "code", 1), (5002, prose(1, extra=120), "en", "code", 1), (5003, prose(1, extra=2), "en", "news", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in quality.judge(df).where("NOT kept").collect()} == {5000, 5002}
+
+
+def test_junk_below_a_quarter_does_not_move_a_fence(spark):
+    for share in (5, 20):
+        rows = [(i, prose(i, extra=40 if i % 100 < share else 0), "en", "a", 1) for i in range(400)]
+        got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+        assert {r.doc_id for r in got.where("NOT kept").collect()} == {i for i in range(400) if i % 100 < share}
+
+
+def test_small_groups_lean_on_wider_sketches(spark):
+    """A group of one junk row has its language's fence; a language of one row has the corpus's."""
+    rows = [(i, prose(i), "en", f"s{i % 3}", 1) for i in range(300)] + [(900, prose(1, extra=40), "en", "new", 1), (901, prose(1, extra=40), "xx", None, 1), (902, prose(1), "xx", None, 1)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert {r.doc_id for r in got.where("NOT kept").collect()} == {900, 901}
+
+
+@pytest.mark.parametrize("sf_dir", ["sf0.01", "sf0.1"])
+def test_no_constant_decides(spark, sf, sf_dir):
+    """Groups have fences of their own, and good documents stay: of the labelled ones that pass the base rule, 95 % and more."""
+    folder = f"{sf.rsplit('/', 1)[0]}/{sf_dir}"
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    measured = quality.features(rows).withColumns(quality.metrics()).cache()
+    fences = quality.thresholds(quality.sketch(measured)).collect()
+    assert len(fences) == 80
+    for edge in (lambda r: r.q3_word_length + 3 * r.gap, lambda r: r.q1_word_length - 3 * r.gap):
+        assert Counter(map(edge, fences)).most_common(1)[0][1] < 40 and len(set(map(edge, fences))) >= 20
+    good = quality._verdicts(measured, 3, 50).join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1"), "doc_id").where("NOT base_failed")
+    bad = quality._verdicts(measured, 3, 50).join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0"), "doc_id")
+    assert good.where("kept").count() > 0.95 * good.count() and bad.where("kept").count() < 0.05 * bad.count()
 
 
 def test_buckets(spark):
@@ -111,7 +145,3 @@ def test_license(odd, docs, none, spark):
     got = {r.doc_id: r.labels for r in license_scan.scan(made).collect()}
     assert got[1] == "mit" and got[2] == "apache-2,cc-by-nc" and got[3] == "mit" and got[4] == "" == got[5]
     assert license_scan.scan(none).count() == 0
-
-
-def test_digest():
-    assert hashlib.md5(b"mix:1").hexdigest()
