@@ -72,16 +72,16 @@ def metrics() -> dict[str, Column]:
 
 
 def _shift(v: Column) -> Column:
-    return F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    return F.greatest(F.length(F.bin(v)) - 8, F.lit(0))
 
 
 def bucket(v: Column) -> Column:
-    """Sketch bucket of a whole number >= 0, named by its smallest value: exact below 64, then 32 to a power of two."""
+    """Sketch bucket of a whole number >= 0, named by its smallest value: exact below 256, then 128 to a power of two."""
     return F.call_function("shiftleft", F.call_function("shiftright", v, _shift(v)), _shift(v))
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """(kl, ks, metric, bucket, n): a histogram of relative error 1/32 of the rows that pass the base rule.
+    """(kl, ks, metric, bucket, n): a histogram of relative error 1/128 of the rows that pass the base rule.
 
     Sketches merge by adding the counts of equal buckets, in any order, to the same result; the rows of a hot
     source are combined on the map side, and a sketch has some hundreds of buckets however many rows it covers.
@@ -193,7 +193,7 @@ m AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words
         CASE WHEN n_text_lines > 0 THEN n_dup_lines * 1000 // n_text_lines END AS dup_lines FROM f),
 u AS (SELECT kl, ks, x.metric, x.v FROM (SELECT kl, ks, unnest([{{'metric': 'symbols', 'v': symbols}}, {{'metric': 'dup_lines', 'v': dup_lines}},
         {{'metric': 'word_length', 'v': word_length}}, {{'metric': 'n_words', 'v': n_words}}]) AS x FROM m WHERE NOT base_failed) WHERE x.v IS NOT NULL),
-b AS MATERIALIZED (SELECT kl, ks, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n FROM u GROUP BY ALL),
+b AS MATERIALIZED (SELECT kl, ks, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bucket, count(*) AS n FROM u GROUP BY ALL),
 c AS (SELECT metric, bucket, sum(n)::BIGINT AS u FROM b GROUP BY ALL),
 cs AS (SELECT metric, bucket, floor(50000::DOUBLE * u / (sum(u) OVER (PARTITION BY metric))::BIGINT)::BIGINT AS share FROM c),
 lb AS (SELECT kl, metric, bucket, sum(n)::BIGINT AS n FROM b GROUP BY ALL),
@@ -205,7 +205,7 @@ q AS (SELECT kl, ks, min(bucket) FILTER (metric = 'symbols' AND upto * 4 >= tota
         min(bucket) FILTER (metric = 'dup_lines' AND upto * 4 >= total) AS d1, min(bucket) FILTER (metric = 'dup_lines' AND upto * 4 >= total * 3) AS d3,
         min(bucket) FILTER (metric = 'word_length' AND upto * 4 >= total) AS l1, min(bucket) FILTER (metric = 'word_length' AND upto * 4 >= total * 3) AS l3,
         min(bucket) FILTER (metric = 'n_words' AND upto * 4 >= total * 2) AS n2 FROM run WHERE w > 0 GROUP BY ALL),
-t AS (SELECT *, greatest(l3 - l1, 1 << greatest(length(bin(l3)) - 6, 0)) AS gap FROM q),
+t AS (SELECT *, greatest(l3 - l1, 1 << greatest(length(bin(l3)) - 8, 0)) AS gap FROM q),
 e AS (SELECT m.*, (s3 + (s3 - s1) * 3) * n_words / 1000::DOUBLE AS es, (d3 + (d3 - d1) * 3) * n_text_lines / 1000::DOUBLE AS ed,
         gap * 3 * sqrt(greatest(1::DOUBLE, n2::DOUBLE / nullif(n_words, 0))) AS room, l1, l3 FROM m LEFT JOIN t USING (kl, ks))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

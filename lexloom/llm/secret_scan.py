@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import shared_table
@@ -19,21 +21,27 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Ordinary tokens: words of letters and plain numbers.
-ORDINARY = (re.compile(r"\b[A-Za-z]{6,}\b", re.A), re.compile(r"\b[0-9]{6,}\b", re.A))
 MIN_ASSIGN = 6
+#: Candidates: tokens as long as the shortest credential that the base detectors know.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_ASSIGN},}}")
+SYMBOLS = 67
 LEARNED = "format"
+END = ""
 
-#: Bound on the labelled credentials of each kind, and on the ordinary tokens, that the automata are fitted to.
+#: Bounds on the labelled credentials of each kind, and on the ordinary tokens of each shape, that the automata are fitted to.
 SAMPLE = 600
+ORDINARY = 1_000
+ROUNDS = 3
 ALPHA = 0.05
-UNSEEN = 1e-4
-#: Nats per character by which a credential automaton must beat the one of ordinary tokens, at least.
-MARGIN = 0.4
+#: A token is reported if it is this many times likelier a credential than not, given how rare credentials are among the corpus's tokens.
+ODDS = 20
+#: Nats by which a shape's own automaton must explain a sampled token better than the credential formats do, for it to count as ordinary.
+CLEAR = 5.0
+#: Scores that a worker remembers; then it starts over.
+REMEMBERED = 200_000
 
 
-def base_spans(text: str) -> list[tuple[int, str, int, int, str]]:
+def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of the base detectors, sorted by start, then kind as listed; code points, end exclusive.
 
     A run of hex digits or an access key is maximal, so asking for the least length finds what dropping shorter ones would.
@@ -46,13 +54,19 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    """Tokens of at least 16 characters that no base span overlaps."""
-    out = []
+def candidates(text: str, taken: list[tuple]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, token) of the tokens outside the base spans; a token that a span cuts gives its pieces.  One pass over both sorted lists."""
+    at, i = 0, 0
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e, _ in taken):
-            out.append((m.start(), m.end(), m[0]))
-    return out
+        a, end = m.span()
+        while i < len(taken) and taken[i][0] < end:
+            s, _, e, _ = taken[i]
+            if s - max(a, at) >= MIN_ASSIGN:
+                yield max(a, at), s, text[max(a, at) : s]
+            at, i = max(at, e), i + 1
+        a = max(a, at)
+        if end - a >= MIN_ASSIGN:
+            yield a, end, text[a:end]
 
 
 class Automaton:
@@ -143,100 +157,203 @@ class Automaton:
                 known.add(blue)
             fresh = [(p, c) for p in kept for c in sorted(self.next[p]) if self.next[p][c] not in known]
         number = {s: i for i, s in enumerate(kept)}
-        self.table = [{c: (math.log(n / self.total[s]), number[self.next[s][c]]) for c, n in self.flow[s].items()} for s in kept]
+        usual, everything = Counter(), 0
+        for s in kept:
+            usual.update(self.flow[s])
+            usual[END] += self.ends[s]
+            everything += self.total[s]
+        self.rare = -math.log(everything + SYMBOLS + 1)
+        usual = {c: math.log(n + 1) + self.rare for c, n in usual.items()}
+        self.table, self.miss, self.usual = [], [], usual
+        for s in kept:
+            ways = {**self.flow[s], **({END: self.ends[s]} if self.ends[s] else {})}
+            whole = self.total[s] + len(ways)
+            self.table.append({c: (math.log((n + len(ways) * math.exp(usual[c])) / whole), number[self.next[s][c]] if c else 0) for c, n in ways.items()})
+            self.miss.append(math.log(max(1, len(ways)) / max(1, whole)))
         del self.next, self.flow, self.ends, self.total
 
     def score(self, word: str) -> float:
-        """Mean log-likelihood of the characters; an unseen one costs log(UNSEEN) and starts over."""
+        """Log-likelihood of the word with its end.  A state without a step for a character falls back to the character's share of all steps (as much
+        as the state has met new characters), and goes on from where the first state leads with it."""
         at, total = 0, 0.0
-        for c in word:
-            step = self.table[at].get(c)
+        table, miss, usual, rare = self.table, self.miss, self.usual, self.rare
+        for c in (*word, END):
+            step = table[at].get(c)
             if step is None:
-                total, at = total + math.log(UNSEEN), 0
+                total += miss[at] + usual.get(c, rare)
+                at = table[0].get(c, (0, 0))[1]
             else:
                 total, at = total + step[0], step[1]
-        return total / max(1, len(word))
+        return total
+
+
+def shape(token: str) -> int:
+    """Which of lower case, upper case, digits and symbols a token has, as bits."""
+    return (token != token.upper()) + 2 * (token != token.lower()) + 4 * (_DIGIT.search(token) is not None) + 8 * (not token.isalnum())
+
+
+_DIGIT = re.compile("[0-9]")
+
+
+class Smallest:
+    """The ``k`` smallest of many (key, value) pairs."""
+
+    def __init__(self, k: int):
+        self.k, self.kept, self.bound = k, [], math.inf
+
+    def add(self, key: int, value: str) -> None:
+        if key < self.bound:
+            self.kept.append((key, value))
+            if len(self.kept) >= 2 * self.k:
+                self.cut()
+
+    def cut(self) -> list[tuple[int, str]]:
+        self.kept.sort()
+        del self.kept[self.k :]
+        if len(self.kept) == self.k:
+            self.bound = self.kept[-1][0]
+        return self.kept
+
+
+class Format:
+    """The automata of a kind of credential: one for each shape that its values have, with the share of that shape, and one for all other shapes."""
+
+    def __init__(self, words: list[str]):
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(shape(w), []).append(w)
+        self.any, self.rare = Automaton(words), -math.log(len(words) + 16)
+        self.shapes = {k: (math.log((len(v) + 1) / (len(words) + 16)), Automaton(v)) for k, v in sorted(by.items())}
+
+    def score(self, word: str, k: int) -> float:
+        share, automaton = self.shapes.get(k, (self.rare, self.any))
+        return share + automaton.score(word)
 
 
 class Model:
-    """An automaton for each kind of credential and one for ordinary tokens."""
+    """A :class:`Format` for each kind of credential, and an automaton for the ordinary tokens of each shape.
+
+    ``ordinary`` has, for each shape, the number of the corpus's tokens and a sample of them; ``n_credentials`` is the number of labelled credentials.
+    Credentials that no detector labels are among the tokens of their shape: those that the shape's own automaton does not explain clearly better than
+    a credential automaton does leave the sample, and the shape's automaton is inferred again from the rest.
+    """
+
+    def __init__(self, credentials: dict[str, list[str]], ordinary: dict[int, tuple[int, list[str]]], n_credentials: int):
+        self.kinds = {k: Format(v) for k, v in sorted(credentials.items()) if v}
+        n_tokens = max(1, sum(n for n, _ in ordinary.values()))
+        self.threshold = math.log(ODDS) + math.log(n_tokens / max(1, n_credentials))
+        self.shapes, self.shares = {}, {}
+        for k, (n, words) in sorted(ordinary.items()):
+            rest, own = words, Automaton(words)
+            for _ in range(ROUNDS):
+                left = [w for w in words if self.format(w, k) + CLEAR < own.score(w)]
+                if len(left) == len(rest):
+                    break
+                rest, own = left, Automaton(left)
+            self.shapes[k], self.shares[k] = own, math.log((n * len(rest) / len(words) + 1) / (n_tokens + 16))
+        self.unseen, self.none = -math.log(n_tokens + 16), Automaton([])
+        self._known: dict[str, bool] = {}
 
-    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str], margin: float = MARGIN):
-        self.kinds = {k: Automaton(v) for k, v in sorted(credentials.items()) if v}
-        self.ordinary = Automaton(ordinary or ["word"])
-        usual = sorted(self.score(w) for w in ordinary)
-        self.threshold = max(margin, usual[int(len(usual) * 0.999)] if usual else margin)
+    def format(self, word: str, k: int) -> float:
+        """Log-likelihood of a word of shape ``k`` under the best credential format; -inf without credentials."""
+        return max((a.score(word, k) for a in self.kinds.values()), default=-math.inf)
 
     def score(self, word: str) -> float:
-        """How many nats a character the best credential format beats ordinary text by; -inf without credentials."""
-        return max((a.score(word) for a in self.kinds.values()), default=-math.inf) - self.ordinary.score(word)
+        """By how many nats the best credential format explains the word better than ordinary text."""
+        k = shape(word)
+        return self.format(word, k) - self.shares.get(k, self.unseen) - self.shapes.get(k, self.none).score(word)
 
+    def credential(self, word: str) -> bool:
+        known = self._known.get(word)
+        if known is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            known = self._known[word] = self.score(word) > self.threshold
+        return known
 
-def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, cand, plain): base spans, candidates, and the longest word and number of each row."""
-    item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
+def survey(docs: DataFrame, ordinary: int = ORDINARY) -> DataFrame:
+    """(kind, shape, value, key, n): credentials by value (kinds of KINDS), a sample of the tokens of each shape (kind sample) and their number (kind tokens).
+
+    A token's key is a hash of it and of its row's id; each batch gives the ``ordinary`` smallest keys of a shape, so those of all rows are among them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        shapes: dict[str, int] = {}
         for b in batches:
-            base, cand, plain = [], [], []
-            for x in b.column(1):
+            found, many, keep = Counter(), Counter(), {}
+            for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = x.as_py() or ""
                 spans = base_spans(text)
-                base.append([{"kind": KINDS[k], "start": s, "end": e, "value": v} for s, k, e, v in spans])
-                found = candidates(text, spans)
-                cand.append([{"kind": LEARNED, "start": s, "end": e, "value": v} for s, e, v in found])
-                plain.append([max(p.findall(text), key=len, default=None) for p in ORDINARY])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(item)), pa.array(cand, pa.list_(item)), pa.array(plain, pa.list_(pa.string()))],
-                                             ["doc_id", "base", "cand", "plain"])
+                found.update((KINDS[k], v) for _, k, _, v in spans)
+                seed = digest(str(doc))
+                for w, n in Counter(w for _, _, w in candidates(text, spans)).items():
+                    if (k := shapes.get(w)) is None:
+                        if len(shapes) >= REMEMBERED:
+                            shapes.clear()
+                        k = shapes[w] = shape(w)
+                    many[k] += n
+                    keep.setdefault(k, Smallest(ordinary)).add(digest(w, seed) >> 1, w)
+            rows = [*((kind, 0, v, 0, c) for (kind, v), c in found.items()), *(("sample", k, w, h, 1) for k, s in keep.items() for h, w in s.cut()), *(("tokens", k, None, 0, n) for k, n in many.items())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                                                 ["kind", "shape", "value", "key", "n"])
 
     ship_package(docs.sparkSession)
-    kind, span = docs.schema["doc_id"].dataType.simpleString(), "array<struct<kind:string,start:int,end:int,value:string>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {span}, cand {span}, plain array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind string, shape int, value string, key long, n long")
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> Model:
     """Automata from at most ``sample`` labelled credentials of each kind (those with the smallest hashes), labelled by the
-    detector that found them, and as many ordinary words and numbers.  The bound keeps the fit small; it drops no row from the scan."""
-    values = found.select(F.explode("base").alias("x")).select("x.kind", "x.value").distinct()
+    detector that found them, and ``ordinary`` tokens of each shape.  The bounds keep the fit small; counts are of all rows, and every token is scored."""
+    rows = shared_table(survey(docs, ordinary).groupBy("kind", "shape", "value", "key").agg(F.sum("n").alias("n")), "secret-survey")
+    total = {(r[0], r[1]): r[2] for r in rows.where("kind <> 'sample'").groupBy("kind", "shape").agg(F.sum("n")).collect()}
     order = F.md5(F.concat_ws(":", "kind", "value"))
-    credentials = {k: [r[0] for r in values.where(F.col("kind") == k).orderBy(order).limit(sample).select("value").collect()] for k in KINDS}
-    ordinary = []
-    for i in range(len(ORDINARY)):
-        plain = found.select(F.get("plain", F.lit(i)).alias("value")).where("value IS NOT NULL").distinct()
-        ordinary += [r[0] for r in plain.orderBy(F.md5("value")).limit(sample).collect()]
-    return Model(credentials, ordinary)
+    credentials = {k: [r[0] for r in rows.where(F.col("kind") == k).orderBy(order).limit(sample).select("value").collect()] for k in KINDS if (k, 0) in total}
+    place = F.row_number().over(Window.partitionBy("shape").orderBy("key", "value"))
+    words: dict[int, list[str]] = {}
+    for r in rows.where("kind = 'sample'").withColumn("place", place).where(F.col("place") <= ordinary).orderBy("shape", "place").collect():
+        words.setdefault(r["shape"], []).append(r["value"])
+    return Model(credentials, {k: (total["tokens", k], w) for k, w in words.items()}, sum(total.get((k, 0), 0) for k in KINDS))
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(text: str, model: Model) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of all spans of a text, base and learned, sorted by start, then kind as listed."""
+    base = base_spans(text)
+    out = [(s, k, e) for s, k, e, _ in base] + [(s, len(KINDS), e) for s, e, w in candidates(text, base) if model.credential(w)]
+    return [(s, (*KINDS, LEARNED)[k], e) for s, k, e in sorted(out)]
+
+
+def scan(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> DataFrame:
     """Secrets in every row's whole text.
 
-    The base detectors' hits are labelled credentials; automata inferred from a bounded sample of them score every
-    other long token of every text by the likelihood of its format, and those above the threshold join the spans as
-    kind ``format``.  Null and empty texts have no spans; repeated rows are scanned alike; an empty table gives no rows (and no
-    automata); further columns are ignored.
+    The base detectors' hits are labelled credentials; automata inferred from a bounded sample of them, and one inferred from ordinary tokens, score
+    every other token of ``MIN_ASSIGN`` characters or more of every text.  One is reported, as kind ``format``, if its credential likelihood is
+    ``ODDS`` times what its ordinary one and the rarity of credentials in the corpus ask for; short tokens need as much evidence as
+    long ones.  Null and empty texts have no spans; repeated rows are scanned alike; an empty table gives no rows (and no
+    automata); without labelled credentials there are no learned spans; further columns are ignored.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of base spans, kind:start:end, comma-joined) and spans.
     """
-    found = shared_table(detect(docs), "secret-candidates")
-    model = found.sparkSession.sparkContext.broadcast(fit(found, sample))
-    order = {k: i for i, k in enumerate((*KINDS, LEARNED))}
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             counts, digests, spans = {k: [] for k in KINDS}, [], []
-            for base, cand in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for x in b.column(1):
+                got = find(x.as_py() or "", m)
+                base = [x for x in got if x[1] != LEARNED]
                 for k in KINDS:
-                    counts[k].append(sum(x["kind"] == k for x in base))
+                    counts[k].append(sum(x[1] == k for x in base))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                more = [x for x in cand if m.score(x["value"]) > m.threshold]
-                spans.append(_joined(sorted(base + more, key=lambda x: (x["start"], order[x["kind"]]))))
+                spans.append(_joined(got))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
                                              ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "base", "cand").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def _joined(spans: list[dict]) -> str:
-    return ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in spans)
+def _joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)

@@ -161,16 +161,86 @@ def test_secret_rows(spark, odd, none):
     assert secret_scan.scan(none).count() == 0
 
 
-def test_automata_tell_formats():
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+FORMATS = {
+    "hex": lambda pick, n: pick("0123456789abcdef", 10 + n % 13),
+    "base62": lambda pick, n: pick(LETTERS, 16 + n % 25),
+    "short": lambda pick, n: pick(LETTERS, 8 + n % 5),
+    "prefixed": lambda pick, n: "ghp_" + pick(LETTERS, 36),
+    "groups": lambda pick, n: "-".join(pick("0123456789ABCDEF", 4) for _ in range(4)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FORMATS))
+def test_credentials_that_no_detector_knows(spark, docs, name):
+    """Credentials are learned where a keyword stands before them and found where none does, in the corpus's own texts."""
     rng = np.random.default_rng(2)
     pick = lambda letters, n: "".join(rng.choice(list(letters), n))
-    keys = {"access": ["AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(300)], "hex": [pick("0123456789abcdef", 40) for _ in range(300)]}
-    words = [pick("abcdefghijklmnoprstuvw", int(n)) for n in rng.integers(6, 20, 300)] + [pick("0123456789", 16) for _ in range(100)]
-    m = secret_scan.Model(keys, words)
-    assert len(m.kinds["hex"].table) < 20 and 4 < len(m.kinds["access"].table) < 40
-    fresh = [pick("0123456789abcdef", 32) for _ in range(100)]
-    assert sum(m.score(x) > m.threshold for x in fresh) > 90
-    assert sum(m.score(x) > m.threshold for x in [pick("abcdefghijklmnoprstuvw", 18) for _ in range(100)] + [pick("0123456789", 16) for _ in range(100)]) < 5
+    rows, planted = [], {}
+    for i, r in enumerate(docs.select("doc_id", "text").collect()):
+        words = (r.text or "").split(" ")
+        at = int(rng.integers(0, len(words) + 1))
+        value = FORMATS[name](pick, i)
+        if i % 3 == 0:
+            words.insert(at, f'password: "{value}"')
+        elif i % 3 == 1:
+            words.insert(at, value)
+            start = sum(len(w) + 1 for w in words[:at])
+            planted[i] = (start, start + len(value))
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("format:")} for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(planted[i] in found[i] for i in planted)
+    least = 0.85 if name == "short" else 0.9  # 8 to 12 characters, learned from 67 examples
+    assert hits >= least * len(planted) and hits >= 0.9 * sum(map(len, found.values()))
+
+
+def test_spans_by_definition(spark, odd, docs):
+    """Every maximal run of token characters outside the base spans is scored, nothing else."""
+    made = spark.createDataFrame([(1, "token=abcdef123456 deadbeef" + "0" * 20 + "XYZQ987 zz9f8e7d6c5b " + "AKIA" + "Z" * 20 + "abc_def1 x"), (2, None), (3, "q" * 50_000 + "9f8e7d6c5b4a")], "doc_id long, text string")
+    for df in (made, odd, docs):
+        model = secret_scan.fit(df)
+        want = Counter()
+        for r in df.select("doc_id", "text").collect():
+            text = r.text or ""
+            spans = [(s, k, e) for s, k, e in plain_secrets(text)]
+            free = [bool(re.match(r"[A-Za-z0-9+/_.=-]", c)) for c in text]
+            for s, _, e in spans:
+                free[s:e] = [False] * (e - s)
+            edges = "".join("x" if f else " " for f in free)
+            runs = [(m.start(), 3, m.end()) for m in re.finditer("x{6,}", edges)]
+            runs = [(s, k, e) for s, k, e in runs if model.score(text[s:e]) > model.threshold]
+            want[r.doc_id, ",".join(f"{(*secret_scan.KINDS, 'format')[k]}:{s}:{e}" for s, k, e in sorted(spans + runs))] += 1
+        assert Counter(map(tuple, secret_scan.scan(df).select("doc_id", "spans").collect())) == want
+
+
+def test_automata_merge_states():
+    rng = np.random.default_rng(2)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    assert len(secret_scan.Automaton([pick("0123456789abcdef", 40) for _ in range(300)]).table) < 20
+    keys = secret_scan.Automaton(["AKIA" + pick(LETTERS[:26] + "0123456789", 16) for _ in range(300)])
+    assert 4 < len(keys.table) < 40 and keys.score("AKIA" + "B7" * 8) > keys.score("BKIA" + "B7" * 8) + 3
+
+
+def test_unlabelled_credentials_do_not_pass_as_ordinary(spark, docs):
+    """Many keys that no detector labels, all alike, are no ordinary tokens."""
+    rng = np.random.default_rng(3)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 18))
+    rows = [(i, (r.text or "") + f"\ntoken={key()}" * (i % 2) + f"\n{key()} {key()}") for i, r in enumerate(docs.select("text").collect())]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.spans.count("format:") >= 2 for r in got) > 0.95 * len(got)
+
+
+def test_long_logs_are_read_once(spark):
+    """A text of many base spans and tokens takes time in proportion to its length."""
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        text = "password=hunter2hunter2 somewhere " * n
+        began = time.perf_counter()
+        assert len(list(secret_scan.candidates(text, secret_scan.base_spans(text)))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
 
 
 # Toxicity
