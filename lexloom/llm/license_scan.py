@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ascii_lower, shared_table, text_key
+from lexloom.llm.common import ascii_lower, bind, shared_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -43,59 +43,92 @@ def templates() -> list[dict]:
     return out
 
 
-def _postings(spark: SparkSession) -> DataFrame:
-    """A row for each word of each key phrase; the table's size is that of the fixed templates."""
-    rows = []
+def _index(frequency: dict[str, int]) -> Column:
+    """rarest word -> templates, each with its label, its words and places, and the words of its key phrase from the rarest on.
+
+    A literal the size of the fixed templates.  ``frequency`` has the number of rows of each licence word.
+    """
+    by: dict[str, list[Column]] = {}
     for t in templates():
-        words = ", ".join(f"'{w}'" for w in t["words"])
-        rows += [f"({t['id']}, '{t['label']}', {t['base']}, array({words}), {t['at']}, {len(t['key'])}, '{w}', {t['at'] + i})".lower() for i, w in enumerate(t["key"])]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(template, label, base, words, key_at, key_n, word, pos)")
+        place = lambda w, i: F.struct(F.lit(w).alias("w"), F.lit(i).alias("k"))
+        key = sorted(range(t["at"], t["at"] + len(t["key"])), key=lambda i: (frequency.get(t["words"][i], 0), i))
+        by.setdefault(t["words"][key[0]], []).append(F.struct(
+            F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), F.array(*[place(t["words"][i], i) for i in key]).alias("key"),
+            F.array(*[place(w, i) for i, w in enumerate(t["words"])]).alias("all")))
+    return F.create_map(*[x for w, found in sorted(by.items()) for x in (F.lit(w), F.array(*found))])
+
+
+def _places(postings: Column, p: Column) -> Column:
+    """Where a template would start for each place of its word ``p``."""
+    return F.transform(F.coalesce(F.try_element_at(postings, p["w"]), F.array().cast("array<int>")), lambda i: i - p["k"])
+
+
+def _best_share(hits: Column, n: Column) -> Column:
+    """The largest number of times that a start is in ``hits``, by one scan of the sorted starts, as a share of ``n``."""
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return bind(F.when(acc["at"] == x, acc["run"] + 1).otherwise(1), lambda run: F.struct(x.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best")))
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda acc: acc["best"] / n)
+
+
+def _matched(index: Column, present: Column, places: Column) -> Column:
+    """(label, base, starts, share) of the templates whose key phrase stands in the text.
+
+    Posting lists (places of a word in the text, in order) are shifted by the word's place in the template and intersected from the rarest word
+    on, so a list is as long as the rarest word is frequent, and no place is compared with another one by one.
+    """
+    postings = F.map_from_entries(F.transform(present, lambda w: F.struct(w.alias("w"), F.transform(F.filter(places, lambda x: x["w"] == w), lambda x: x["i"]).alias("at"))))
+
+    def look_up(p: Column) -> Column:
+        def match(t: Column) -> Column:
+            first = _places(p, t["key"][0])
+            starts = F.aggregate(F.slice(t["key"], 2, 1 << 20), first, lambda acc, k: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, _places(p, k))))
+            return bind(starts, lambda s: F.struct(
+                t["label"].alias("label"), t["base"].alias("base"), s.alias("starts"),
+                F.when(t["base"] | (F.size(s) == 0), F.lit(1.0)).otherwise(_best_share(F.flatten(F.transform(t["all"], lambda k: F.array_intersect(s, _places(p, k)))), F.size(t["all"]))).alias("share")))
+
+        candidates = F.flatten(F.transform(F.filter(present, lambda w: F.map_contains_key(index, w)), lambda w: F.try_element_at(index, w)))
+        return F.filter(F.transform(candidates, match), lambda m: F.size(m["starts"]) > 0)
+
+    return bind(postings, look_up)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """License notices of every row's whole text.
 
-    Document frequencies of the licence words are counted over the whole corpus; each template is looked up by the
-    rarest word of its key phrase, so a file's rare licence words alone lead to candidate places.  At a candidate the
-    other template words are compared at their relative positions; the place counts if the whole key phrase stands
-    there.  ``score`` is the largest share of a template's words in place (1 for a base phrase, 0 without any).
+    Document frequencies of the licence words are counted over the whole corpus (a count for each of the templates' words).  A file's rare licence
+    words lead to the templates that have them as the highest-IDF word of their key phrase; the template's words are then intersected by relative position,
+    from the rarest on, which verifies the whole key phrase at all its places.  ``score`` is the largest share of a template's words in place (1
+    for a base phrase, 0 without any).  Everything is row-local: a very long text, or one of nothing but notices, takes time in proportion to its length.
 
     Returns doc_id, n_words, n_base, first_word, last_word (of base places, null without), base_labels, labels, score.
     Null and empty texts have no words; repeated rows are scanned alike; an empty table gives no rows; further columns are
     ignored.
     """
-    spark = docs.sparkSession
     known = sorted({w for t in templates() for w in t["words"]})
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"),
-                       F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
+    rows = docs.select("doc_id", F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
     rows = rows.withColumn("present", F.array_intersect("w", F.array(*map(F.lit, known))))
     whole = F.lit(False)
     for key in sorted({tuple(t["key"]) for t in templates()}):
         parts = sorted(set(key))
         whole = whole | (F.size(F.array_intersect("present", F.array(*map(F.lit, parts)))) == len(parts))
     places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*known))
-    rows = shared_table(rows.select("doc_id", "tk", F.size("w").cast("long").alias("n_words"), "present", F.when(whole, places).alias("places")), "license-words")
-
-    frequency = rows.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "pos")
-    index = _postings(spark).join(frequency, "word", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1")
-    index = index.select("word", "pos", "template", "label", "base", F.col("words").alias("t"), "key_at", "key_n")
-
-    found = rows.where("places IS NOT NULL").select("doc_id", "tk", "places", F.explode("places").alias("p"))
-    found = found.join(F.broadcast(index), F.col("p.w") == F.col("word")).withColumn("start", F.col("p.i") - F.col("pos"))
-    found = found.withColumn("hits", F.expr("transform(t, (w, k) -> array_contains(places, named_struct('w', w, 'i', start + k)))"))
-    found = found.where(F.expr("forall(slice(hits, key_at + 1, key_n), x -> x)"))
-    share = F.expr("size(filter(hits, x -> x)) / size(hits)")
-    found = found.select("doc_id", "tk", "template", "label", "base", "start", share.alias("share")).distinct()
-    base = F.col("base")
-    found = found.groupBy(F.col("doc_id").alias("d"), F.col("tk").alias("k")).agg(
-        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"), F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"))
-    rows = rows.select("doc_id", "tk", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k")), "left")
-    return rows.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-                       F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-                       F.coalesce("score", F.lit(0.0)).alias("score"))
+    rows = shared_table(rows.select("doc_id", F.size("w").cast("long").alias("n_words"), "present", F.when(whole, places).alias("places")), "license-words")
+
+    frequency = {r[0]: r[1] for r in rows.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*")).collect()}
+    none = F.array().cast("array<struct<label:string,base:boolean,starts:array<int>,share:double>>")
+    found = F.when(F.col("places").isNotNull(), _matched(_index(frequency), F.col("present"), F.col("places"))).otherwise(none)
+
+    def result(m: Column) -> Column:
+        base = F.filter(m, lambda x: x["base"])
+        starts = F.flatten(F.transform(base, lambda x: x["starts"]))
+        label = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
+        return F.struct(F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+                        label(base).alias("base_labels"), label(m).alias("labels"), F.coalesce(F.array_max(F.transform(m, lambda x: x["share"])), F.lit(0.0)).alias("score"))
+
+    return rows.select("doc_id", "n_words", bind(found, result).alias("r")).select("doc_id", "n_words", "r.*")
 
 
 def oracle(documents: str = "documents") -> str:

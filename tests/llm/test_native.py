@@ -145,3 +145,21 @@ def test_license(odd, docs, none, spark):
     got = {r.doc_id: r.labels for r in license_scan.scan(made).collect()}
     assert got[1] == "mit" and got[2] == "apache-2,cc-by-nc" and got[3] == "mit" and got[4] == "" == got[5]
     assert license_scan.scan(none).count() == 0
+
+
+def test_texts_of_nothing_but_notices(spark):
+    n = 200_000
+    rows = [(1, "under the MIT license\n" * n), (2, "xx under the terms of the GNU General Public License, as published " * (n // 20)), (3, "the " * n), (4, "mit license the under " * n)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (n, 0, 4 * n - 4, "mit")
+    assert got[2].n_base == 0 and got[2].labels == "gpl" and got[2].score == 12 / 16 and got[3].labels == ""
+    assert got[4].n_base == 0
+
+
+def test_templates_are_looked_up_by_the_rarest_word_of_the_corpus(spark):
+    """Which word is rarest changes the plan, never the result."""
+    notice = "Licensed under the Apache License, Version 2.0"
+    for common in ("apache", "license", "version", "the"):
+        rows = [(0, notice), (1, "the apache license " + notice + " version 2")] + [(i, f"{common} filler") for i in range(2, 30)]
+        got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [(got[i].n_base, got[i].first_word, got[i].labels, got[i].score) for i in (0, 1)] == [(1, 3, "apache-2", 1.0), (1, 6, "apache-2", 1.0)]
