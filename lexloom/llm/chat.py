@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     out = []
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind and not (number and (kind == "number" or isinstance(value, int) or value == int(value)) if kind in ("number", "integer") else isinstance(value, _TYPES[kind])):
+    if kind and not (number and (kind == "number" or isinstance(value, int) or value.is_integer()) if kind in ("number", "integer") else isinstance(value, _TYPES[kind])):
         return [f"{path}: not of type {kind}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{path}: not in enum")
@@ -53,64 +54,105 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _printable(text: str) -> str:
+    """Lone surrogates, which UTF-8 has no form for, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted names, no spaces and no needless escapes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted names, no spaces and no needless escapes.  A number that JSON has no form for is a ValueError."""
+    return _printable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON number")
+
+
+def check_arguments(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str | None, list[str]]:
+    """(canonical JSON of the arguments, or None; what is wrong with them).
+
+    Text that is no JSON, NaN and infinities, numbers out of range and nesting too deep to read are all "no JSON"; nothing raises.
+    """
+    try:
+        value = json.loads(arguments or "", parse_constant=_no_number)
+        text = canonical(value)
+        wrong = [f"no schema {name}"] if name not in schemas else violations(value, schemas[name])
+    except (ValueError, RecursionError, OverflowError):
+        return None, ["arguments are no JSON"]
+    return text, [_printable(x) for x in wrong]
 
 
 def order_calls(calls: DataFrame) -> DataFrame:
-    """Adds level to (call_id, after): 0 for a call that needs no other, else one more than the call it follows; null in a cycle.
+    """Adds level to (call_id, after): 0 for a call that needs no other, else one more than the highest level of those it follows; null in a cycle and behind one.
 
-    Levels come from pointer doubling, so a chain of n calls takes log2(n) joins.  A call that follows an unknown one has level 0.
+    ``after`` is an identifier or an array of them; unknown ones do not count.  Calls that follow one other are chained to the nearest call that follows
+    none or several by pointer doubling, so a chain of n calls takes log2(n) joins; the latter are then levelled from the roots on, a join for each
+    of them on the longest path.
     """
+    after = F.col("after") if calls.schema["after"].dataType.typeName() == "array" else F.array("after")
     ids = calls.select(F.col("call_id").alias("known"))
-    state = calls.select("call_id", "after").join(ids, F.col("after") == F.col("known"), "left")
-    state = shared_table(state.select("call_id", F.col("known").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("level")), "call-order")
-    rounds = max(1, state.count()).bit_length() + 1
-    for _ in range(rounds):
-        if not state.where("up IS NOT NULL").limit(1).count():
+    edges = calls.select("call_id", F.explode(F.array_distinct(after)).alias("parent")).join(ids, F.col("parent") == F.col("known"), "left_semi")
+    edges = shared_table(edges, "call-edges")
+    many = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).withColumnRenamed("call_id", "c")
+    one = F.col("n") == 1
+    state = calls.select("call_id").join(many, F.col("call_id") == F.col("c"), "left")
+    state = shared_table(state.select("call_id", F.when(one, F.col("parent")).otherwise(F.col("call_id")).alias("up"), F.when(one, 1).otherwise(0).cast("long").alias("far"),
+                                      F.coalesce("n", F.lit(0)).alias("n")), "call-order")
+    anchors = state.where("n <> 1").select(F.col("call_id").alias("anchor"))
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if not state.join(anchors, F.col("up") == F.col("anchor"), "left_anti").limit(1).count():
+            break
+        above = state.select(F.col("call_id").alias("c"), F.col("up").alias("u"), F.col("far").alias("f"))
+        state = shared_table(state.join(above, F.col("up") == F.col("c")).select("call_id", F.col("u").alias("up"), (F.col("far") + F.col("f")).alias("far"), "n"), "call-order")
+    levels = state.where("n = 0").select(F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("at"))
+    junctions = state.where("n > 1").select("call_id", F.col("n").alias("need"))
+    steps = edges.join(junctions, "call_id").join(state.select(F.col("call_id").alias("parent"), "up", "far"), "parent")
+    steps = shared_table(steps.select("call_id", "need", "up", (F.col("far") + 1).alias("far")), "call-steps")
+    while steps.limit(1).count():
+        ready = steps.join(levels, F.col("up") == F.col("anchor")).groupBy("call_id", "need").agg(F.count("*").alias("have"), F.max(F.col("at") + F.col("far")).alias("at"))
+        ready = shared_table(ready.where("have = need").select(F.col("call_id").alias("anchor"), "at"), "call-ready")
+        if not ready.limit(1).count():
             break
-        above = state.select(F.col("call_id").alias("c"), F.col("up").alias("u"), F.col("level").alias("l"))
-        state = state.join(above, F.col("up") == F.col("c"), "left")
-        state = shared_table(state.select("call_id", F.col("u").alias("up"), (F.col("level") + F.coalesce("l", F.lit(0))).alias("level")), "call-order")
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+        levels = levels.unionByName(ready)
+        steps = shared_table(steps.join(ready, F.col("call_id") == F.col("anchor"), "left_anti"), "call-steps")
+    return state.join(levels, F.col("up") == F.col("anchor"), "left").select("call_id", (F.col("at") + F.col("far")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """Join calls (call_id, name, arguments as JSON, after) with results (call_id, content) and serialise each pair.
 
     Returns call_id, level, status (linked, pending: no result, orphan: no call), valid, errors and json.  A call is level 0 or follows
-    another (``after``); a result stands directly behind its call, so (level, call_id) is a topological order.  The join is a
-    hash join by identifier and no conversation is gathered in one task.  Of several calls or results with an identifier the smallest
-    arguments or content count.  Null identifiers are dropped from neither side: they are pending or orphan.  Arguments that are
-    no JSON, and names without a schema, are invalid.  Empty tables give no rows; further columns are ignored.
+    others (``after``, one identifier or an array); a result stands directly behind its call, so (level, call_id) is a topological order.  The join is a
+    hash join by identifier and no conversation is gathered in one task; rows without an identifier take no part in it.  Of several calls or results with an
+    identifier the smallest arguments or content count.  Null identifiers are dropped from neither side: they are pending or orphan.  Arguments that are
+    no JSON (see :func:`check_arguments`), and names without a schema, are invalid.  Empty tables give no rows; further columns are ignored.
     """
     schemas = SCHEMAS if schemas is None else schemas
     one = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min_by(F.struct("name", "arguments", "after"), F.struct("arguments", "name", "after")).alias("x"))
-    calls = one.select("call_id", "x.*").unionByName(calls.where("call_id IS NULL").select("call_id", "name", "arguments", "after"))
-    results = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("content")).unionByName(results.where("call_id IS NULL").select("call_id", "content"))
-    calls, results = shared_table(calls, "calls"), results.withColumnRenamed("call_id", "result_id")
-    levels = order_calls(calls.where("call_id IS NOT NULL")).withColumnRenamed("call_id", "level_id")
-    rows = calls.withColumn("is_call", F.lit(True)).hint("shuffle_hash").join(results.withColumn("is_result", F.lit(True)), F.col("call_id") == F.col("result_id"), "full")
+    one = shared_table(one.select("call_id", "x.*"), "calls")
+    answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("content")).withColumnRenamed("call_id", "result_id")
+    levels = order_calls(one).withColumnRenamed("call_id", "level_id")
+    rows = one.withColumn("is_call", F.lit(True)).hint("shuffle_hash").join(answers.withColumn("is_result", F.lit(True)), F.col("call_id") == F.col("result_id"), "full")
     rows = rows.join(levels, F.col("call_id") == F.col("level_id"), "left")
     status = F.when(F.col("is_call").isNull(), "orphan").when(F.col("is_result").isNull(), "pending").otherwise("linked")
     rows = rows.select(F.coalesce("call_id", "result_id").alias("call_id"), "name", "arguments", "after", "content", F.col("level").cast("long").alias("level"), status.alias("status"))
+    alone = calls.where("call_id IS NULL").select("call_id", "name", "arguments", "after", F.lit("pending").alias("status"))
+    rows = rows.unionByName(alone.unionByName(results.where("call_id IS NULL").select("call_id", "content", F.lit("orphan").alias("status")), allowMissingColumns=True), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             valid, errors, text = [], [], []
             for r in b.to_pylist():
-                wrong, args = [], None
-                if r["status"] != "orphan":
-                    try:
-                        args = json.loads(r["arguments"] or "")
-                        schema = schemas.get(r["name"])
-                        wrong = [f"no schema {r['name']}"] if schema is None else violations(args, schema)
-                    except ValueError:
-                        wrong = ["arguments are no JSON"]
-                valid.append(not wrong and r["status"] != "orphan")
+                called, wrong, args = r["status"] != "orphan", [], None
+                if called:
+                    args, wrong = check_arguments(r["name"], r["arguments"], schemas)
+                call = f'{{"after":{canonical(r["after"])},"arguments":{args or "null"},"name":{canonical(r["name"])}}}' if called else "null"
+                valid.append(called and not wrong)
                 errors.append("; ".join(wrong))
-                text.append(canonical({"id": r["call_id"], "call": None if r["status"] == "orphan" else {"name": r["name"], "arguments": args, "after": r["after"]}, "result": r["content"]}))
+                text.append(f'{{"call":{call},"id":{canonical(r["call_id"])},"result":{canonical(r["content"])}}}')
             yield pa.RecordBatch.from_arrays([b["call_id"], b["level"], b["status"], pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(text, pa.string())],
                                              ["call_id", "level", "status", "valid", "errors", "json"])
 
@@ -125,16 +167,25 @@ def turn_calls(conversations: DataFrame, system: bool = False) -> tuple[DataFram
     other user turn comes between.  Each call follows the previous user turn's call.  Turns that repeat a (conversation, number) count once, by the
     smallest role and text; turns without number or conversation are left out, and so are those of other roles than user and assistant.  With
     ``system`` the text of the last system turn before a user turn is its call's argument of that name.
+
+    Turns are sorted by range over (conversation, number), so a long conversation is cut into slices that different tasks read; each slice takes over the last
+    user, assistant and system turn of those before it.
     """
     rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x")).select("conv_id", "turn", "x.*")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn").withColumn("slice", F.spark_partition_id())
+    rows = shared_table(rows, "turn-slices")
     name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    user = F.last(F.when(F.col("role") == "user", name), ignorenulls=True).over(before)
-    answered = F.last(F.when(F.col("role").isin("user", "assistant"), F.col("role")), ignorenulls=True).over(before)
     text = F.coalesce("text", F.lit(""))
-    governs = F.last(F.when(F.col("role") == "system", text), ignorenulls=True).over(before)
-    extra = [governs.alias("system")] if system else []
-    rows = shared_table(rows.select("role", text.alias("text"), name.alias("call_id"), user.alias("user"), answered.alias("previous"), *extra), "turns")
+    known = {"user": F.when(F.col("role") == "user", name), "previous": F.when(F.col("role").isin("user", "assistant"), F.col("role")), "system": F.when(F.col("role") == "system", text)}
+    known = {k: c for k, c in known.items() if system or k != "system"}
+    rows = rows.withColumns({f"own_{k}": c for k, c in known.items()})
+    # what a slice of a conversation takes over from the slices before it
+    ahead = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("conv_id", "slice").agg(*[F.max_by(f"own_{k}", F.when(F.col(f"own_{k}").isNotNull(), F.col("turn"))).alias(f"end_{k}") for k in known])
+    ends = ends.select("conv_id", "slice", *[F.last(f"end_{k}", ignorenulls=True).over(ahead).alias(f"end_{k}") for k in known])
+    before = Window.partitionBy("conv_id", "slice").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(ends, ["conv_id", "slice"]).select("role", text.alias("text"), name.alias("call_id"), *[F.coalesce(F.last(f"own_{k}", ignorenulls=True).over(before), f"end_{k}").alias(k) for k in known])
+    rows = shared_table(rows, "turns")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), *(["system"] if system else [])))
     calls = rows.where("role = 'user'").select("call_id", F.lit("reply").alias("name"), arguments.alias("arguments"), F.col("user").alias("after"))
     results = rows.where("role = 'assistant'").select(F.when(F.col("previous") == "user", F.col("user")).otherwise(F.concat(F.lit("stray:"), "call_id")).alias("call_id"), F.col("text").alias("content"))

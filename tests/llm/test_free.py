@@ -104,6 +104,52 @@ def test_long_chains(spark):
     assert {r.call_id: r.level for r in got.collect()} == {str(i): i for i in range(n)}
 
 
+def test_calls_that_follow_several(spark):
+    """Levels are longest paths: against relaxation until nothing changes; cycles and what is behind them have none."""
+    rng = np.random.default_rng(6)
+    after = {f"n{i}": [f"n{int(x)}" for x in rng.integers(0, i, int(rng.integers(0, 4)))] if i else [] for i in range(80)}
+    after |= {f"c{i}": [f"c{i - 1}"] for i in range(1, 40)} | {"c0": [], "j": ["c39", "n3", "gone"], "k": ["j", "n79"], "x": ["y"], "y": ["x", "n1"], "z": ["y", "c5"], "self": ["self"], "nothing": None}
+    level = {}
+    for _ in after:
+        for k, up in after.items():
+            up = [u for u in up or [] if u in after]
+            if all(u in level for u in up):
+                level[k] = max((level[u] + 1 for u in up), default=0)
+    got = chat.order_calls(spark.createDataFrame(list(after.items()), "call_id string, after array<string>"))
+    assert {r.call_id: r.level for r in got.collect()} == {k: level.get(k) for k in after}
+    calls = spark.createDataFrame([("a", "reply", "{}", ["b", "c"]), ("b", "reply", "{}", None), ("c", "reply", "{}", ["b"])], "call_id string, name string, arguments string, after array<string>")
+    assert {r.call_id: (r.level, json.loads(r.json)["call"]["after"]) for r in chat.link(calls, spark.createDataFrame([], "call_id string, content string")).collect()} == {
+        "a": (2, ["b", "c"]), "b": (0, None), "c": (1, ["b"])}
+
+
+HOSTILE = ['{"prompt":"\\ud800"}', '{"\\ud800":1}', '{"prompt":' + "[" * 100_000 + "]" * 100_000 + "}", '{"prompt":NaN}', '{"prompt":Infinity}', '{"prompt":1e999}', '{"prompt":' + "9" * 5000 + "}", "\x00", None, ""]
+
+
+def test_hostile_arguments(spark):
+    """No argument text ends a task; what JSON cannot hold is invalid, and every row is JSON."""
+    calls = spark.createDataFrame([(str(i), "reply" if i % 2 else "n", a, None) for i, a in enumerate(HOSTILE * 2)], "call_id string, name string, arguments string, after string")
+    schemas = {"reply": chat.SCHEMAS["reply"], "n": {"type": "object", "properties": {"prompt": {"type": "integer"}}}}
+    got = {int(r.call_id): r for r in chat.link(calls, spark.createDataFrame([("0", "\x00")], "call_id string, content string"), schemas).collect()}
+    assert len(got) == 2 * len(HOSTILE) and all(json.loads(r.json)["id"] == str(i) for i, r in got.items())
+    assert json.loads(got[0].json)["call"]["arguments"] == {"prompt": "\ud800"} and "\\ud800" in got[0].json
+    assert all(got[i].errors == "arguments are no JSON" and not got[i].valid for i in (2, 3, 4, 5, 6, 7, 8, 9))
+
+
+def test_a_hot_conversation_is_split(spark):
+    """All slices of one long conversation know the turns before them."""
+    n = 4000
+    role = lambda i: "system" if i % 1000 == 0 else ("user", "assistant", "tool")[i % 3]
+    df = spark.createDataFrame([(7, i, role(i), f"t{i}") for i in range(n)] + [(8, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    calls, _ = chat.turn_calls(df, system=True)
+    want, last, sys = {}, None, None
+    for i in range(n):
+        if role(i) == "user":
+            want[f"7:{i}"], last = (last, sys), f"7:{i}"
+        sys = f"t{i}" if role(i) == "system" else sys
+    got = {r.call_id: (r.after, json.loads(r.arguments).get("system")) for r in calls.collect()}
+    assert got.pop("8:1") == (None, None) and got == want
+
+
 def test_schema():
     s = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": [1, 2]}}}}
     assert chat.violations({"a": 1, "b": [1, 2]}, s) == []
