@@ -43,7 +43,7 @@ def op4_chat_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    return toxicity.score(documents(spark, sf), labels(spark, sf)).select("doc_id", "held_out", "score", "predicted", "n_segments")
+    return toxicity.score(documents(spark, sf), labels(spark, sf), passages=False)
 
 
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:

@@ -340,6 +340,28 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, lab).count() == 0
 
 
+def test_segments_take_linear_time():
+    """Many positive runs under falling totals: each has smaller left totals before it, none joins."""
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        runs = [x for i in range(n) for x in ((2 * i, 2 * i + 1, 1.0), (2 * i + 1, 2 * i + 2, -1.5))]
+        began = time.perf_counter()
+        assert len(maximal_segments(runs)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_held_out_labels(spark, sf):
+    """At 3,000 training labels nine of ten held-out toxic texts are found, and nine of ten found ones are toxic."""
+    folder = f"{sf.rsplit('/', 1)[0]}/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.score(spark.read.parquet(f"{folder}/documents.parquet"), labels, passages=False).where("held_out").join(labels, "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[1, 1] >= 0.9 * (n[1, 1] + n[0, 1])
+
+
 # Decontamination
 
 def plain_align(a, b):
