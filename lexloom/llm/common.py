@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of this machine is made and registered.
+    unset and all runs in one process (local tests) a temporary folder of this machine is made and registered.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lexloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

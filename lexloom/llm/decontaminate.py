@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.llm.common import matching, packed, shared_table, text_key
 from lexloom.session import ship_package
@@ -60,8 +61,9 @@ class Block:
         self.number: dict[bytes, int] = {}
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in t], np.int64) for _, t in items]
         keys, owner, place = [], [], []
+        self.lengths = sorted({min(SEED_WORDS, len(w)) for w in self.words})
         for i, w in enumerate(self.words):
-            k = self.seeds(w)
+            k = self.seeds(w, min(SEED_WORDS, len(w)))
             keys.append(k)
             owner.append(np.full(len(k), i))
             place.append(np.arange(len(k)))
@@ -71,12 +73,13 @@ class Block:
         self.keys, self.first, self.times = np.unique(keys[order].astype(np.uint64), return_index=True, return_counts=True)
 
     @staticmethod
-    def seeds(words: np.ndarray) -> np.ndarray:
-        """A 64-bit number for each run of SEED_WORDS words; item texts shorter than that have one for the whole text."""
-        n = max(1, len(words) - SEED_WORDS + 1) if len(words) else 0
-        x = np.zeros(n, np.uint64)
-        for k in range(min(SEED_WORDS, len(words))):
-            x += (words[k : k + n].astype(np.uint64) + np.uint64(1)) * _MIX[k]
+    def seeds(words: np.ndarray, length: int) -> np.ndarray:
+        """A 64-bit number for each run of ``length`` words: SEED_WORDS, or all words of a shorter item."""
+        n = len(words) - length + 1
+        x = np.full(max(0, n), _MIX[0] * np.uint64(length))
+        for k in range(length if n > 0 else 0):
+            x = (x ^ (words[k : k + n].astype(np.uint64) + np.uint64(1))) * _MIX[k]
+            x ^= x >> np.uint64(29)
         return x
 
     def read(self, text: str | None) -> np.ndarray:
@@ -85,21 +88,23 @@ class Block:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the text, seed numbers) of all seeds of all items."""
-        none = np.zeros(0, np.int64)
-        if not len(words) or not len(self.keys):
-            return none, none
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         known = words >= 0
-        n = max(1, len(words) - SEED_WORDS + 1)
-        whole = known[:n].copy()
-        for k in range(1, min(SEED_WORDS, len(words))):
-            whole &= known[k : k + n]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return none, none
-        x = self.seeds(words)[at]
-        i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-        ok = self.keys[i] == x
-        return at[ok], i[ok]
+        for length in self.lengths:
+            n = len(words) - length + 1
+            if n <= 0:
+                continue
+            whole = known[:n].copy()
+            for k in range(1, length):
+                whole &= known[k : k + n]
+            at = np.flatnonzero(whole)
+            if len(at):
+                x = self.seeds(words, length)[at]
+                i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+                ok = self.keys[i] == x
+                places.append(at[ok])
+                found.append(i[ok])
+        return np.concatenate(places), np.concatenate(found)
 
     def leaks(self, words: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
         """(item number, score, start word, end word) of the best alignment of each item that scores enough."""
@@ -146,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     """(doc_id, tk, item_id, score, start_word, end_word): documents that hold an edited or exact copy of a benchmark item.
 
     The items are a stated query set, taken in blocks of bounded size that every executor gets.  For each block one pass over
-    all documents finds the diagonals with a seed (three words of an item in a row) and aligns the item with that stretch of the text, unless
+    all documents finds the diagonals with a seed (three words of an item in a row; all words of a shorter item) and aligns the item with that stretch of the text, unless
     :func:`most` shows that the score cannot be enough.  A row's result depends on its own text alone, not on how often others copy the
     item.  A copy that keeps no three words in a row is not found.  No document text is shuffled.
 
@@ -158,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     ship_package(spark)
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
-    out = None
+    kind, out = to_arrow_type(benchmark.schema["item_id"].dataType), None
     for block in _blocks(benchmark, block_words):
         sent = spark.sparkContext.broadcast(block)
 
@@ -175,7 +180,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
                     [some.column(0), some.column(1), pa.array([block.ids[x[0]] for x in got], kind), *(pa.array([x[k] for x in got], t) for k, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64())))],
                     ["doc_id", "tk", "item_id", "score", "start_word", "end_word"])
 
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
         part = rows.mapInArrow(find, f"doc_id {doc_type}, tk long, item_id {item_type}, score double, start_word long, end_word long")
         part = shared_table(part, "leaks")
         out = part if out is None else out.unionByName(part)

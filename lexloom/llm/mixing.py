@@ -59,15 +59,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = "mix", row
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / rows_per_bucket))).cast("int")
     per_source = shared_table(per_source.withColumn("bits", bits).withColumnRenamed("source", "s"), "targets")
     rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
+    # rows with an id and size in common are one row of the windows, with their number: repeated and missing ids fill no slice
+    rows = rows.groupBy("source", "source_size", "target", "bits", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("slice", F.expr("shiftright(key, 60 - bits)"))
-    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    sums = rows.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("copies")).alias("slice_size"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("slice").alias("c"), F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("ahead"))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("c")))
     within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    start = F.col("ahead") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0))
     epochs = F.coalesce(F.floor(F.expr("try_divide(target, source_size)")), F.lit(0))
-    rows = rows.withColumns({"start": start, "epochs": epochs})
+    rows = rows.withColumns({"start": start, "epochs": epochs}).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     more = F.when(2 * F.col("start") + F.col("size") <= 2 * left, F.col("size")).otherwise(0)
     return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("long").alias("taken"))

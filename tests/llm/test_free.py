@@ -427,6 +427,14 @@ def test_leaks(spark, odd, none, docs):
     assert {r.doc_id for r in got.where("item_id = 1 AND doc_id >= 1000").collect()} == {r[0] for r in hot}
 
 
+def test_short_items(spark):
+    """Items of one and two words are found where all their words stand, also beside longer items; any type of item id will do."""
+    bench = spark.createDataFrame([(1, "quick brown"), (2, "zebra"), (3, "one two three four")], "item_id short, text string")
+    rows = [(1, "the quick brown fox"), (2, "brown quick zebra"), (3, "quick"), (4, "Zebra"), (5, "x one two three four y quick brown"), (6, "")]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (4, 2), (5, 3), (5, 1)}
+
+
 def test_against_all_pairs(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r.item_id, decontaminate.tokens(r.text)) for r in bench.collect()]

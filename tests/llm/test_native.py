@@ -120,6 +120,16 @@ def test_mixing(odd, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_repeated_and_missing_ids(spark):
+    """A third of a source without an id and a third with the same id: each row counts, the mix stays near its target."""
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 7, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_bucket=50).collect()
+    assert Counter((r.doc_id, r["size"], r.source) for r in got) == Counter((i, len(t.split()), s) for i, t, s in rows)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+
+
 def test_slices_change_nothing(docs):
     one = rows_of(mixing.mix(docs), "doc_id", "taken")
     assert one == rows_of(mixing.mix(docs.repartition(7), rows_per_bucket=2), "doc_id", "taken")

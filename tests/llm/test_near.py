@@ -149,3 +149,9 @@ def test_symbols_that_differ(spark):
     pack = lambda s: (s.astype(np.uint64).reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64).view(np.int64).tolist()
     got = spark.createDataFrame([(pack(a), pack(b))], "a array<long>, b array<long>").select(near_dedup.differing(F.col("a"), F.col("b"))).first()[0]
     assert got == int((a != b).sum())
+
+
+def test_texts_whose_hashes_clash_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 70), (5, 9, 90)], "doc_id long, tk long, tk2 long")
+    node = {r.doc_id: r.node for r in near_dedup.told_apart(rows).collect()}
+    assert node[1] == node[3] and len({node[1], node[2], node[4], node[5]}) == 4 and (node[4], node[5]) == (8, 9)
