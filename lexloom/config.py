@@ -23,11 +23,16 @@ class EngineConfig:
     keyword_weight: float = 0.5
     semantic_weight: float = 0.5
     claim_threshold: float = 0.4
+    retrieval: str = "dense"
+    rerank: bool = False
+    verify_answers: bool = False
     collection: str = "legal_docs"
 
     def __post_init__(self):
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("chunk_overlap must be at least 0 and below chunk_size")
+        if self.retrieval not in ("dense", "hybrid"):
+            raise ValueError("retrieval must be dense or hybrid")
         if not 0 <= self.dense_weight <= 1:
             raise ValueError("dense_weight must lie in [0, 1]")
 

@@ -15,6 +15,8 @@ STOP_RELEVANCY = "the and for are was were been have has had will shall can may
 CITATION = r"(?i)(?:Article|Art\.?)\s*\(?(\d+)\)?"
 METRICS = ("faithfulness", "relevancy", "context_precision", "context_recall", "citation_accuracy")
 GOOD, FAIR = 0.7, 0.4
+#: Flagged queries that a report names; it says how many there are.
+LISTED = 100
 RECOMMENDATIONS = (("faithfulness", 0.7, "ground the prompt in the sources"), ("context_recall", 0.5, "retrieve more, or by two methods"),
                    ("context_precision", 0.5, "rerank what is retrieved"), ("citation_accuracy", 0.8, "ask for citations of the sources alone"))
 
@@ -156,7 +158,10 @@ def markdown_report(scored: DataFrame, title: str = "Evaluation") -> str:
     for level, name in ((1, "category"), (2, "difficulty")):
         out += ["", f"## By {name}", "", f"| {name} | n | faithfulness | relevancy |", "|---|---|---|---|"]
         out += [f"| {r[name]} | {r.n} | {r.faithfulness:.4f} | {r.relevancy:.4f} |" for r in by_group(scored).where(F.col("level") == level).orderBy(name).collect()]
-    out += ["", "## Flagged", ""] + [f"- {r.id}: {', '.join(r.flags)}" for r in flagged(scored).orderBy("id").limit(100).collect()]
+    bad = flagged(scored)
+    many = bad.count()
+    out += ["", f"## Flagged ({many})", ""] + [f"- {r.id}: {', '.join(r.flags)}" for r in bad.orderBy("id").limit(LISTED).collect()]
+    out += [f"- and {many - LISTED} more" for _ in range(many > LISTED)]
     advice = [f"- {m} is low: {what}" for m, least, what in RECOMMENDATIONS if means[m] < least]
     if all(means[m] >= GOOD for m in METRICS):
         advice.append("- all metrics are good")

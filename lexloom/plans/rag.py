@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULTS, EngineConfig
-from lexloom.operators import chunking, dense, embedding, fusion, generation, sparse, structure
+from lexloom.operators import chunking, dense, embedding, fusion, generation, sparse, structure, verify
 
 
 def ingest(docs: DataFrame, strategy: str = "article", embedder=None, config: EngineConfig = DEFAULTS, **options) -> DataFrame:
@@ -49,3 +49,12 @@ def answer(chunks: DataFrame, queries: DataFrame, retrieved: DataFrame, model: g
     flags = F.coalesce("flags", F.array().cast("array<string>"))
     return out.select("query_id", "query", F.coalesce("answer", F.lit(generation.NO_ANSWER)).alias("answer"),
                       generation.confidence(F.col("mean_score"), F.size(flags) > 0).alias("confidence"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "context", flags.alias("flags"))
+
+
+def verified(answers: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """``answers`` with the claims that the context does not support among their flags, found without a model; a newly flagged answer's confidence is lower."""
+    rows = verify.verify(answers.withColumns({"response": F.coalesce("answer", F.lit("")), "context": F.coalesce("context", F.lit(""))}))
+    more = F.transform(F.filter("verdicts", lambda v: ~v["is_supported"]), lambda v: v["claim"])
+    rows = rows.withColumn("more", F.when(F.col("source_count") > 0, more).otherwise(F.array().cast("array<string>")))
+    lower = (F.size("flags") == 0) & (F.size("more") > 0)
+    return rows.withColumns({"confidence": F.when(lower, F.round(F.col("confidence") * generation.FLAGGED, 4)).otherwise(F.col("confidence")), "flags": F.array_union("flags", "more")}).select(*answers.columns)

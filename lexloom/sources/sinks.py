@@ -57,9 +57,12 @@ def experiment_results(results: DataFrame, path: str) -> None:
 
 
 def response_json(response: DataFrame) -> DataFrame:
-    """The body a web service would send: scores to 4 digits, confidence and times to 3."""
-    sources = F.transform("sources", lambda s: s.withField("score", F.round(s["score"], 4)))
-    body = F.struct("query", "answer", sources.alias("sources"), F.round("confidence", 3).alias("confidence"), "hallucination_flags",
-                    F.round("retrieval_time", 3).alias("retrieval_time"), F.round("generation_time", 3).alias("generation_time"),
-                    F.round(F.col("retrieval_time") + F.col("generation_time"), 3).alias("total_time"))
-    return response.select(F.to_json(body).alias("body"))
+    """The body a web service sends: scores to 4 digits, confidence and times to 3; missing law names are Unknown, article numbers N/A."""
+    def source(s: Column) -> Column:
+        return F.struct(s["text"].alias("text"), F.coalesce(s["law_name"], F.lit("Unknown")).alias("law_name"), F.coalesce(s["article_number"], F.lit("N/A")).alias("article_number"),
+                        F.coalesce(s["chapter"], F.lit("")).alias("chapter"), F.round(s["score"], 4).alias("score"))
+
+    times = {"retrieval": F.col("retrieval_time"), "generation": F.col("generation_time"), "total": F.col("retrieval_time") + F.col("generation_time")}
+    body = F.struct("query", "answer", F.transform("sources", source).alias("sources"), F.round("confidence", 3).alias("confidence"), "hallucination_flags",
+                    F.struct(*[F.round(v, 3).alias(k) for k, v in times.items()]).alias("timing"))
+    return response.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))

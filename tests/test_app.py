@@ -29,8 +29,8 @@ def test_http(service):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}"
     try:
-        assert json.load(urllib.request.urlopen(f"{url}/api/health"))["status"] == "ok"
-        assert json.load(urllib.request.urlopen(f"{url}/api/stats"))["total_chunks"] == 2
+        assert json.load(urllib.request.urlopen(f"{url}/api/health"))["status"] == "healthy"
+        assert json.load(urllib.request.urlopen(f"{url}/api/stats"))["vector_store"]["total_chunks"] == 2
         assert b"<form" in urllib.request.urlopen(url + "/").read()
         ask = lambda body: urllib.request.urlopen(urllib.request.Request(f"{url}/api/query", body))
         assert "prison" in json.load(ask(b'{"query": "fraud is punished by prison"}'))["answer"]
@@ -42,6 +42,36 @@ def test_http(service):
         server.shutdown()
 
 
+def test_body(spark, service):
+    got = service.ask("How is theft punished by a fine?")
+    assert set(got) == {"query", "answer", "sources", "confidence", "hallucination_flags", "timing"} and got["hallucination_flags"] == []
+    assert set(got["timing"]) == {"retrieval", "generation", "total"} and 0 < got["timing"]["retrieval"] < got["timing"]["total"]
+    assert all(set(x) == {"text", "law_name", "article_number", "chapter", "score"} and x["score"] == round(x["score"], 4) for x in got["sources"]) and got["sources"]
+    assert service.ask("zzz qqq")["sources"] == [] and service.ask("zzz qqq")["confidence"] == 0
+
+
+def test_hybrid_reranked_and_verified(spark, service):
+    from dataclasses import replace
+
+    config = replace(service.config, retrieval="hybrid", rerank=True, verify_answers=True)
+
+    class Inventive:
+        def complete(self, prompt):
+            return "[]" if prompt.startswith("List") else "Theft is punished by a fine. Kidnapping leads to Article 99 banishment overseas."
+
+    s = app.Service(spark, service.collection.path.rpartition("/")[0], config, Inventive())
+    got = s.ask("How is theft punished by a fine?")
+    assert [x["article_number"] for x in got["sources"]][0] == "1" and any("banishment" in x for x in got["hallucination_flags"])
+    plain = app.Service(spark, service.collection.path.rpartition("/")[0], replace(config, verify_answers=False), Inventive()).ask("How is theft punished by a fine?")
+    assert got["confidence"] == pytest.approx(0.7 * plain["confidence"], abs=2e-3)
+
+
+def test_baseline_times_are_measured(service, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"question": "theft is punished by a fine"}, {"question": "qqq zzz"}]))
+    got = service.baseline(str(tmp_path / "q.json"), str(tmp_path / "out"))
+    assert (got["succeeded"], got["failed"]) == (1, 1) and got["mean_seconds"] > 0 and got["mean_confidence"] > 0
+
+
 def test_evaluate(service, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps([{"id": "1", "query": "theft is punished by a fine", "category": "simple", "difficulty": "easy", "expected_articles": ["1"]}]))
     (tmp_path / "t.json").write_text(json.dumps([{"query_id": "1", "relevant_articles": ["1"]}]))
