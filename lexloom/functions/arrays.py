@@ -32,3 +32,16 @@ def cosine(a: Column, b: Column) -> Column:
         return F.when(norm == 0, F.lit(0.0)).otherwise(dot / norm)
 
     return bind(F.struct(double(a).alias("a"), double(b).alias("b")), body)
+
+
+def totals_before(a: Column, block: int = 256) -> Column:
+    """For each of an array's whole numbers the sum of those before it; blocks are summed first, so a long array is not copied at every step."""
+    def fold(x: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(x, start, lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))
+
+    def both(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda i: fold(F.slice(x, i * block + 1, F.lit(block))))
+        return bind(parts, lambda p: bind(fold(F.transform(p, lambda y: y["sum"]))["out"], lambda ahead: F.flatten(F.transform(p, lambda y, i: F.transform(y["out"], lambda v: v + F.get(ahead, i))))))
+
+    return F.when(F.size(a) > 0, bind(a, both)).otherwise(F.array().cast("array<bigint>"))

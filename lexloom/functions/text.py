@@ -89,7 +89,8 @@ def article_references(c: Column) -> Column:
 def currency(c: Column) -> Column:
     """``AED 10,000`` -> ``AED 10000``; a comma right behind the amount goes too."""
     def rewrite(x: Column) -> Column:
-        plain = F.regexp_replace(x, r"(?<=AED\s{0,8}[\d,]{0,40}),", "")
+        # each match starts at AED or where the last one ended, so an amount of any length is followed comma by comma
+        plain = F.regexp_replace(x, r"(AED\s*|\G(?!^))(\d*),", "$1$2")
         return F.when(F.contains(x, F.lit("AED")), F.regexp_replace(plain, r"AED\s*(\d+)", "AED $1")).otherwise(x)
 
     return bind(c, rewrite)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.functions.arrays import totals_before
 
 #: Heading patterns; the second group, if any, is the title.
 PATTERNS = {
@@ -24,19 +25,21 @@ def cut_at(text: Column, pattern: str) -> Column:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, number, title, position): every heading-like match, with its 0-based place in the text."""
+    """(doc_id, kind, number, title, position): every heading-like match, with its 0-based place in the text.
+
+    Places are summed within the row, so nothing is shuffled and repeated rows have their own.
+    """
     cuts = [F.struct(F.lit(kind).alias("kind"), cut_at(F.col("text"), pattern).alias("pieces")) for kind, pattern in PATTERNS.items()]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(F.array(*cuts)).alias("x")).where(F.size("x.pieces") > 1)
-    rows = rows.select("doc_id", "tk", "x.kind", F.posexplode("x.pieces").alias("i", "piece"))
+    rows = docs.select("doc_id", F.explode(F.array(*cuts)).alias("x")).where(F.size("x.pieces") > 1)
+    at = totals_before(F.transform("x.pieces", lambda p: F.length(p).cast("long")))
+    rows = rows.select("doc_id", "x.kind", F.posexplode(F.arrays_zip(F.col("x.pieces").alias("piece"), at.alias("position"))).alias("i", "y")).where("i > 0")
+    rows = rows.select("doc_id", "kind", F.col("y.piece").alias("piece"), F.col("y.position").alias("position"))
     number, title = F.lit(None), F.lit("")
     for kind, pattern in PATTERNS.items():
         number = F.when(F.col("kind") == kind, F.regexp_extract("piece", "^" + pattern, 1)).otherwise(number)
         if kind != "articles":
             title = F.when(F.col("kind") == kind, F.trim(F.regexp_extract("piece", "^" + pattern, 2))).otherwise(title)
-    parts = rows.select("doc_id", "kind", "tk", "i", number.alias("number"), title.alias("title"), F.length("piece").alias("n"))
-    before = Window.partitionBy("doc_id", "tk", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumn("position", F.sum("n").over(before))
-    return rows.where("i > 0").select("doc_id", "kind", "number", "title", "position")
+    return rows.select("doc_id", "kind", number.alias("number"), title.alias("title"), "position")
 
 
 def counts(docs: DataFrame) -> DataFrame:

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.functions.arrays import cosine
 from lexloom.operators import chunking, dense, embedding, evaluate, experiments, fusion, generation, sparse, structure, verify
-from lexloom.sources import readers
+from lexloom.sources import readers, sinks
+from lexloom.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 CTE: dict[str, str] = {}
+#: Common table expressions that are read several times: without this DuckDB may compute them anew each time.
+KEPT = {"wtok", "dtok", "wpost", "dpost", "wraw", "draw"}
 
 
 def strip_sql(x: str) -> str:
@@ -32,7 +35,7 @@ def query(sql: str | None = None, *needs: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = ("WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n]})" for n in needs) + " " if needs else "") + sql
+            ORACLE[f.__name__] = ("WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({CTE[n]})" for n in needs) + " " if needs else "") + sql
         return f
     return add
 
@@ -214,7 +217,7 @@ CTE["win"] = (f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY
               "FROM (SELECT doc_id, text, unnest(range(0, length(text), 462)) AS s FROM documents)) WHERE text <> ''")
 
 
-@query(rf"SELECT doc_id, chunk_index, md5(doc_id || ':' || chunk_index) AS chunk_id, text, length(text)::BIGINT AS chunk_size, regexp_extract(text, '{_ART}', 1) AS article_number FROM win", "win")
+@query(rf"SELECT doc_id, chunk_index, md5(doc_id || ':' || chunk_index) AS chunk_id, text, length(text)::BIGINT AS chunk_size, regexp_extract(text, '{_ART}', 1) AS article_number, source FROM win JOIN (SELECT doc_id, source FROM documents) USING (doc_id)", "win")
 def chunk_sliding(spark, sf):
     return chunking.sliding(documents(spark, sf))
 
@@ -244,8 +247,8 @@ art AS (SELECT doc_id, pos, {strip_sql('seg')} AS body, CASE WHEN pos = 0 THEN '
     OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS chapter FROM seg),
 src AS (SELECT * FROM art WHERE pos > 0 OR length(body) > 50), cuts AS ({_cut_query('src')}),
 c AS (SELECT doc_id, pos, i, {strip_sql('substr(body, beg + 1, stop - beg)')} AS text FROM cuts)
-SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY c.pos, c.i) - 1)::BIGINT AS chunk_index, c.text, length(c.text)::BIGINT AS chunk_size, article_number, coalesce(chapter, '') AS chapter
-FROM c JOIN src USING (doc_id, pos)"""
+SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY c.pos, c.i) - 1)::BIGINT AS chunk_index, c.text, length(c.text)::BIGINT AS chunk_size, article_number, coalesce(chapter, '') AS chapter, source
+FROM c JOIN src USING (doc_id, pos) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"""
 
 
 def chunk_article(spark, sf):
@@ -265,9 +268,35 @@ def sentences(spark, sf):
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+def _level_sql(n: int, separator: str) -> dict[str, str]:
+    """Level ``n`` of the recursive splitter: items over 512 characters are cut into the longest stretches of parts that fit, each starting at a part."""
+    sep, size = _lit(separator), len(separator)
+    return {
+        f"parts{n}": f"""SELECT doc_id, key, any_value(text) AS text, list(beg ORDER BY beg) AS begs, list(beg + length(part) ORDER BY beg) AS ends FROM (
+          SELECT doc_id, key, text, part, (sum(length(part) + {size}) OVER (PARTITION BY doc_id, key ORDER BY i) - length(part) - {size})::BIGINT AS beg
+          FROM (SELECT doc_id, key, text, unnest(string_split(text, {sep})) AS part, generate_subscripts(string_split(text, {sep}), 1) AS i FROM level{n - 1} WHERE length(text) > 512)) WHERE part <> '' GROUP BY doc_id, key""",
+        f"cut{n}": f"""SELECT doc_id, key, 1::BIGINT AS i, greatest(1, len(list_filter(ends, lambda e: e <= begs[1] + 512)))::BIGINT AS j FROM parts{n}
+          UNION ALL SELECT doc_id, key, c.j + 1 AS i, greatest(c.j + 1, len(list_filter(ends, lambda e: e <= begs[c.j + 1] + 512)))::BIGINT AS j FROM cut{n} c JOIN parts{n} USING (doc_id, key) WHERE c.j < len(ends)""",
+        f"level{n}": f"""SELECT doc_id, key, text FROM level{n - 1} WHERE length(text) <= 512
+          UNION ALL SELECT doc_id, list_append(key, i), substr(text, begs[i] + 1, ends[j] - begs[i]) FROM cut{n} JOIN parts{n} USING (doc_id, key)""",
+    }
+
+
+CTE["level0"] = "SELECT doc_id, []::BIGINT[] AS key, coalesce(text, '') AS text FROM documents"
+_R = ["level0"]
+for _n, _separator in enumerate(chunking.SEPARATORS, 1):
+    _made = _level_sql(_n, _separator)
+    CTE |= _made
+    _R += _made
+    KEPT |= {f"parts{_n}", f"level{_n}"}
+
+
+@query(rf"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY key) - 1)::BIGINT AS chunk_index, text, length(text)::BIGINT AS chunk_size, regexp_extract(text, '{_ART}', 1) AS article_number, source
+  FROM (SELECT doc_id, key, {strip_sql('text')} AS text FROM (SELECT doc_id, key, text FROM level4 WHERE length(text) <= 512 UNION ALL
+    SELECT doc_id, list_append(key, s), substr(text, s + 1, 512) FROM (SELECT doc_id, key, text, unnest(range(0, length(text), 462)) AS s FROM level4 WHERE length(text) > 512) WHERE s = 0 OR s + 50 < length(text)))
+  JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE text <> ''""", *_R)
 def chunk_recursive(spark, sf):
-    return chunking.recursive(documents(spark, sf))
+    return chunking.recursive(documents(spark, sf)).drop("chunk_id")
 
 
 @query()
@@ -298,7 +327,7 @@ def hierarchy_elements(spark, sf):
     def make(text, _):
         return [{"pos": i, **{k: e[k] for k in ("type", "title", "body", "part", "chapter")}} for i, e in enumerate(chunking.elements(text))]
 
-    return chunking._per_text(legal(spark, sf), make, [("pos", pa.int64(), "long"), *((n, pa.string(), "string") for n in ("type", "title", "body", "part", "chapter"))])
+    return chunking._per_text(legal(spark, sf).select("doc_id", "text"), make, [("pos", pa.int64(), "long"), *((n, pa.string(), "string") for n in ("type", "title", "body", "part", "chapter"))])
 
 
 @query("SELECT count(*)::BIGINT AS n, avg(length(text)) AS avg_size, min(length(text))::BIGINT AS min_size, max(length(text))::BIGINT AS max_size FROM win", "win")
@@ -375,7 +404,7 @@ def _bm25(tok: str, p: str) -> dict[str, str]:
         f"{p}post": f"SELECT doc_id, chunk_index, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, chunk_index, w, unnest(w) AS term FROM {tok}) GROUP BY ALL",
         f"{p}stat": f"SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {tok}",
         f"{p}raw": f"SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM {p}post GROUP BY term), {p}stat",
-        f"{p}idf": f"SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}raw) ELSE raw END AS idf FROM {p}raw",
+        f"{p}idf": f"SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM {p}raw, (SELECT avg(raw) AS mean FROM {p}raw)",
         f"{p}bm": f"SELECT query_id, doc_id, chunk_index, round(sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {p}post JOIN {p}idf USING (term) JOIN qterm USING (term), {p}stat GROUP BY ALL",
         f"{p}top": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM {p}bm",
     }
@@ -393,7 +422,7 @@ def bm25_postings(spark, sf):
 
 @query("SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM widf", "win", "wtok", "wpost", "wstat", "wraw", "widf")
 def bm25_idf(spark, sf):
-    return sparse.vocabulary(chunking.sliding(documents(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.vocabulary(sparse.index(chunking.sliding(documents(spark, sf)), ["doc_id", "chunk_index"])).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def windows_top(spark, sf, k=5):
@@ -615,7 +644,7 @@ def eval_citation_accuracy(spark, sf):
 
 def retrieved_sets(spark, sf):
     """The dense list of each query as structs of the documents with the vectors' numbers, and two relevant articles."""
-    docs = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), (F.col("doc_id") % 50).cast("string").alias("article_number"), F.col("lang").alias("law_name"), "source", F.substring("text", 1, 1 << 30).alias("text"))
+    docs = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), (F.col("doc_id") % 50).cast("string").alias("article_number"), F.col("lang").alias("law_name"), "source", "text")
     rows = knn_topk(spark, sf).join(docs, "vec_id").groupBy("query_id").agg(F.collect_list(F.struct("article_number", "law_name", "source", "text")).alias("retrieved"))
     return rows.withColumn("relevant", F.array((F.col("query_id") % 50).cast("string"), F.lit("SRC7")))
 
@@ -709,3 +738,168 @@ def sweep_strategy(spark, sf):
     good = listed.join(asked, ["query_id", "lang"]).select("query_id", F.col("doc_id").alias("key"))
     return experiments.strategies({k: v.select("query_id", F.col("doc_id").alias("key"), "rank") for k, v in lists.items()}, good)
 
+
+# Sources, sinks, models and runs.
+
+def items(spark, sf):
+    return table(spark, sf, "benchmark").where("text IS NOT NULL")
+
+
+def item_files(spark, sf) -> str:
+    """A folder with a text file for each benchmark item."""
+    path = shared_path(spark, "items")
+    items(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_FILES = f"SELECT text || chr(10) AS text, '' AS article_number, '' AS chapter, '' AS section FROM benchmark WHERE {strip_sql('text')} <> ''"
+
+
+@query(_FILES)
+def src_text_files(spark, sf):
+    return readers.text_files(spark, item_files(spark, sf) + "/*.txt").select("text", "article_number", "chapter", "section")
+
+
+@query(_FILES)
+def src_directory(spark, sf):
+    return readers.directory(spark, item_files(spark, sf)).select("text", "article_number", "chapter", "section")
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS query, 'c' || item_id % 3 AS category, NULL::VARCHAR AS difficulty, item_id % 50 || '|x' AS expected FROM benchmark WHERE text IS NOT NULL")
+def src_queries_json(spark, sf):
+    path = shared_path(spark, "queries")
+    rows = items(spark, sf).select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"),
+                                   F.array((F.col("item_id") % 50).cast("string"), F.lit("x")).alias("expected_articles"))
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("all")).write.text(path)
+    return readers.test_queries(spark, path).select("id", "query", "category", "difficulty", F.array_join("expected_articles", "|").alias("expected"))
+
+
+@query("SELECT md5(doc_id || ':' || chunk_index) AS chunk_id, CASE WHEN length(text) > 200 THEN text[:200] || '...' ELSE text END AS text, length(text)::BIGINT AS full_length, doc_id, chunk_index FROM win", "win")
+def snk_previews(spark, sf):
+    path = shared_path(spark, "previews")
+    sinks.chunk_previews(chunking.sliding(documents(spark, sf)), path)
+    rows = spark.read.schema("chunk_id string, text string, full_length long, metadata struct<doc_id:bigint,chunk_index:bigint>").json(path)
+    return rows.select("chunk_id", "text", "full_length", "metadata.doc_id", "metadata.chunk_index")
+
+
+@query("""SELECT md5(doc_id || ':' || chunk_index) AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE text END AS text FROM win WHERE doc_id % 3 > 0
+  UNION ALL SELECT md5(doc_id || ':' || chunk_index), 'again' FROM win WHERE doc_id % 6 = 0""", "win")
+def snk_collection(spark, sf):
+    """Rows of two thirds of the documents, then those of every second document again or for the first time."""
+    rows = chunking.sliding(documents(spark, sf)).select("doc_id", "chunk_id", "text")
+    store = sinks.Collection(spark, shared_path(spark, "store"), "queries")
+    store.replace(rows.where("doc_id % 3 > 0"))
+    store.add(rows.where("doc_id % 2 = 0").withColumn("text", F.lit("again")))
+    return store.read().select("chunk_id", "text")
+
+
+@query("SELECT 'sizes' AS experiment, 'chunk_size' AS variable, value, metric, score FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_size_sql(n)})" for n in experiments.CHUNK_SIZES) + ") UNPIVOT (score FOR metric IN (n, avg_size))")
+def snk_experiments(spark, sf):
+    path = shared_path(spark, "experiments")
+    sinks.experiment_results(experiments.run_all({"sizes": sweep_chunk_size(spark, sf)}), path)
+    return spark.read.schema("variable string, value string, metric string, score double, experiment string").json(path)
+
+
+@query(f"""SELECT query_id, left(text, 150) || '...' AS preview, source AS law_name, score FROM cand WHERE rank <= 3""", *_D, "cand")
+def snk_baseline(spark, sf):
+    path = shared_path(spark, "baseline")
+    rows = _sources(spark, sf).groupBy("query_id").agg(F.collect_list(F.struct(F.col("source").alias("law_name"), "article_number", "score", "text")).alias("sources"))
+    sinks.baseline_results(rows, path)
+    rows = spark.read.schema("query_id long, sources array<struct<law_name:string,article_number:string,score:double,preview:string>>").json(path)
+    return rows.select("query_id", F.explode("sources").alias("s")).select("query_id", "s.preview", "s.law_name", "s.score")
+
+
+@query(r"""SELECT 'sliding_window' AS strategy, doc_id, count(*)::BIGINT AS n FROM win GROUP BY doc_id
+  UNION ALL SELECT 'article', doc_id, count(*)::BIGINT FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|\n)\s*Article\s+\d+')) FROM legal) GROUP BY doc_id""", "win", "legal")
+def chunk_factory(spark, sf):
+    """Chunks of each document by the strategies' names; the size of article chunks is beyond any article."""
+    one = chunking.chunk(documents(spark, sf), "Sliding_Window").select(F.lit("sliding_window").alias("strategy"), "doc_id")
+    two = chunking.chunk(legal(spark, sf), "article", size=1 << 30, overlap=0).where("article_number <> 'preamble'").select(F.lit("article").alias("strategy"), "doc_id")
+    return one.unionByName(two).groupBy("strategy", "doc_id").agg(F.count("*").alias("n"))
+
+
+class Echo:
+    """A model that tells how long its prompt is."""
+
+    def complete(self, prompt: str) -> str:
+        return f"{len(prompt)} characters"
+
+
+@query(f"SELECT query_id, length({_prompt_sql()}) || ' characters' AS answer FROM ctx", *_D, "cand", "ctx")
+def generate_echo(spark, sf):
+    return generation.generate(prompt_build(spark, sf), Echo()).select("query_id", "answer")
+
+
+def _style_sql(style: str) -> str:
+    rest = len(generation.PROMPTS[style].replace("{context}", "").replace("{question}", ""))
+    return f"SELECT 'prompt' AS variable, '{style}' AS value, sum(length(context) + length(query) + {rest})::BIGINT AS characters FROM ctx"
+
+
+@query(" UNION ALL ".join(map(_style_sql, generation.PROMPTS)), *_D, "cand", "ctx")
+def sweep_prompts(spark, sf):
+    rows = generation.context(_sources(spark, sf)).join(text_queries(spark, sf), "query_id").select("context", "query")
+    return experiments.prompts(lambda style: rows.agg(F.sum(F.length(generation.prompt(F.col("context"), F.col("query"), style))).alias("characters")))
+
+
+def _buckets_sql(n: int) -> str:
+    return (f"SELECT 'embedding_model' AS variable, 'hash{n}' AS value, count(*)::BIGINT AS filled FROM (SELECT DISTINCT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {n} AS bucket "
+            f"FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS w FROM documents))")
+
+
+@query(" UNION ALL ".join(_buckets_sql(n) for n in (64, 384)))
+def sweep_embedders(spark, sf):
+    rows = documents(spark, sf).select("doc_id", "text")
+
+    def filled(model) -> DataFrame:
+        return embedding.embed(rows, model).agg(F.sum(F.size(F.filter("embedding", lambda v: v > 0)).cast("long")).alias("filled"))
+
+    return experiments.embedders({f"hash{n}": embedding.HashingEmbedder(n) for n in (64, 384)}, filled)
+
+
+def run_rows(spark, sf):
+    """The evaluation of each pair as a query with its context as the one source; every fifth conversation's answer is an error."""
+    rows = pairs(spark, sf).withColumn("id", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.col("turn").cast("string")))
+    article = (F.col("conv_id") % 50).cast("string")
+    asked = rows.select("id", "query", F.col("lang").alias("category"), F.col("source").alias("difficulty"), F.array(article).alias("expected_articles"))
+    source = F.struct(article.alias("article_number"), F.col("lang").alias("law_name"), F.col("source").alias("source"), F.col("context").alias("text"))
+    got = rows.select("id", F.col("response").alias("answer"), F.array(source).alias("sources"), F.array().cast("array<string>").alias("flags"), F.when(F.col("conv_id") % 5 == 4, "lost").alias("error"))
+    return evaluate.per_query(asked, spark.createDataFrame([], "query_id string, relevant_articles array<string>"), got)
+
+
+CTE["m5"] = r"""SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 1 ELSE round(len(list_intersect(r, c))::DOUBLE / len(r), 4) END::DOUBLE AS score FROM (
+  SELECT conv_id, turn, list_distinct(regexp_extract_all(response, '(?i)(?:Article|Art\.?)\s*\(?(\d+)\)?', 1)) AS r, list_distinct(regexp_extract_all(context, '(?i)(?:Article|Art\.?)\s*\(?(\d+)\)?', 1)) AS c FROM pair)"""
+CTE["evalrun"] = """SELECT lpad(p.conv_id::VARCHAR, 8, '0') || ':' || p.turn AS id, p.conv_id % 5 = 4 AS failed, CASE WHEN p.conv_id % 5 = 4 THEN 0 ELSE m1.score END AS faithfulness,
+  CASE WHEN p.conv_id % 5 = 4 THEN 0 ELSE m2.score END AS relevancy, CASE WHEN p.conv_id % 5 = 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS context_precision, CASE WHEN p.conv_id % 5 = 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS context_recall,
+  CASE WHEN p.conv_id % 5 = 4 THEN 0 ELSE m5.score END AS citation_accuracy FROM pair p JOIN m1 USING (conv_id, turn) JOIN m2 USING (conv_id, turn) JOIN m5 USING (conv_id, turn)"""
+_E = ("pair", "m1", "m2", "m5", "evalrun")
+
+
+@query("SELECT * FROM evalrun", *_E)
+def eval_run(spark, sf):
+    return run_rows(spark, sf).select("id", "failed", *evaluate.METRICS)
+
+
+@query("SELECT " + ", ".join(f"round(avg(round({m} * 10000)::BIGINT)) / 10000 AS {m}" for m in evaluate.METRICS) + " FROM (SELECT * FROM evalrun ORDER BY id LIMIT 10) WHERE NOT failed", *_E)
+def eval_config(spark, sf):
+    return experiments.evaluate_config(run_rows(spark, sf))
+
+
+CTE["para"] = r"""SELECT conv_id, turn, unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS part, generate_subscripts(CASE WHEN len(a) > 0 THEN a ELSE b END, 1) AS k FROM (SELECT conv_id, turn,
+  list_filter(list_transform(CASE WHEN contains(context, chr(10) || chr(10)) THEN string_split(context, chr(10) || chr(10)) ELSE [context] END, lambda x: STRIP), lambda x: x <> '') AS a, []::VARCHAR[] AS b FROM pair)""".replace("STRIP", strip_sql("x"))
+
+
+def _vector_sql(rows: str, keys: str, text: str) -> str:
+    return (f"SELECT {keys}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS v FROM (SELECT {keys}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n "
+            f"FROM (SELECT {keys}, unnest({tokens_sql(text)}) AS w FROM {rows}) GROUP BY ALL)")
+
+
+CTE["claimvec"] = _vector_sql("claim", "conv_id, turn, pos", "claim")
+CTE["paravec"] = _vector_sql("para", "conv_id, turn, k", "part")
+
+
+@query("""SELECT conv_id, turn, pos, round(coalesce(max(s), 0), 4) AS semantic FROM claim LEFT JOIN (SELECT conv_id, turn, pos, k, sum(c.v * p.v) AS s FROM claimvec c JOIN paravec p USING (conv_id, turn, bucket) GROUP BY ALL) USING (conv_id, turn, pos)
+  GROUP BY conv_id, turn, pos""", "pair", "claimlist", "claim", "para", "claimvec", "paravec")
+def claim_semantic(spark, sf):
+    rows = verify.semantic_scores(pairs(spark, sf).select("conv_id", "turn", "response", "context"), embedding.HashingEmbedder(64))
+    rows = rows.select("conv_id", "turn", F.posexplode("semantic").alias("pos", "semantic"))
+    return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.round("semantic", 4).alias("semantic"))

@@ -27,15 +27,27 @@ class Collection:
         self.spark, self.path, self.name = spark, f"{root.rstrip('/')}/collection={name}", name
 
     def add(self, chunks: DataFrame) -> None:
-        chunks.write.mode("append").parquet(self.path)
+        """Upsert by chunk_id: rows of ids that are there already are replaced.  Only if there are any is the collection written anew, beside the
+        old one, which it then replaces."""
+        fs, where, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path, self.path
+        if not fs.exists(where(path)):
+            return chunks.write.parquet(path)
+        ids = chunks.select("chunk_id").distinct()
+        if not self.read().join(ids, "chunk_id", "left_semi").limit(1).count():
+            return chunks.write.mode("append").parquet(path)
+        self.read().join(ids, "chunk_id", "left_anti").unionByName(chunks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.new")
+        fs.delete(where(path), True)
+        fs.rename(where(f"{path}.new"), where(path))
+
+    def _fs(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def replace(self, chunks: DataFrame) -> None:
         """Full refresh; a collection that does not exist yet is made."""
         chunks.write.mode("overwrite").parquet(self.path)
 
     def delete(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

@@ -60,8 +60,10 @@ def test_sinks(spark, tmp_path):
     r = spark.read.json(str(tmp_path / "p")).first()
     assert r.text == "y" * 200 + "..." and r.full_length == 300
     store = sinks.Collection(spark, str(tmp_path / "store"), "laws")
-    store.replace(chunks)
     store.add(chunks)
+    store.add(chunks.withColumn("text", F.lit("new")))
+    assert store.stats()["total_chunks"] == 1 and store.read().first().text == "new"
+    store.add(chunks.withColumn("chunk_id", F.lit("other")))
     assert store.stats()["total_chunks"] == 2
     store.replace(chunks)
     assert store.stats()["total_chunks"] == 1
@@ -70,9 +72,11 @@ def test_sinks(spark, tmp_path):
 
 
 def test_response_json(spark):
-    rows = spark.sql("SELECT 'q' AS query, 'a' AS answer, array(named_struct('chunk_id', 'c', 'score', 0.123456D)) AS sources, 0.98765D AS confidence, array('f') AS hallucination_flags, 0.1D AS retrieval_time, 0.2D AS generation_time")
-    body = json.loads(sinks.response_json(rows).first().body)
-    assert body["sources"][0]["score"] == 0.1235 and body["confidence"] == 0.988 and body["total_time"] == 0.3
+    rows = spark.sql("""SELECT 'q' AS query, 'a' AS answer, array(named_struct('text', 't', 'law_name', cast(null AS string), 'article_number', '3', 'chapter', cast(null AS string), 'score', 0.123456D)) AS sources,
+      0.98765D AS confidence, array('f') AS hallucination_flags, 0.1D AS retrieval_time, 0.2D AS generation_time""")
+    assert json.loads(sinks.response_json(rows).first().body) == {
+        "query": "q", "answer": "a", "sources": [{"text": "t", "law_name": "Unknown", "article_number": "3", "chapter": "", "score": 0.1235}], "confidence": 0.988, "hallucination_flags": ["f"],
+        "timing": {"retrieval": 0.1, "generation": 0.2, "total": 0.3}}
 
 
 def test_stream(spark, folder, tmp_path):

@@ -56,3 +56,24 @@ def test_sentence_twins_agree(spark, texts):
     from lexloom.operators.chunking import sentence_list
 
     assert one(spark, T.sentences, *texts) == [sentence_list(t) for t in texts]
+
+
+def test_long_amounts(spark):
+    amount = ",".join(["123"] * 40)
+    got = spark.createDataFrame([(f"AED {' ' * 30}{amount}, and 1,2 but AED5,000",)], "t string").select(T.currency(F.col("t"))).first()[0]
+    assert got == f"AED {amount.replace(',', '')} and 1,2 but AED 5000"
+
+
+def test_totals_before(spark):
+    from lexloom.functions.arrays import totals_before
+
+    rows = [(list(range(n)),) for n in (0, 1, 2, 255, 256, 257, 1000)]
+    for (a,), r in zip(rows, spark.createDataFrame(rows, "a array<long>").select(totals_before(F.col("a"))).collect(), strict=True):
+        assert r[0] == [sum(a[:i]) for i in range(len(a))]
+
+
+def test_positions_of_repeated_rows(spark):
+    from lexloom.operators import structure
+
+    df = spark.createDataFrame([(1, "Article 1: a\nArticle 2: b")] * 2, "doc_id long, text string")
+    assert sorted(r.position for r in structure.positions(df).where("kind = 'articles'").collect()) == [0, 0, 13, 13]
