@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.storage import shared_path, shared_table
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "bind", "components", "matching", "packed", "shared_path", "shared_table", "text_key"]
+
 #: Fixed value: the whitespace that separates words, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,44 +16,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset and all runs in one process (local tests) a temporary folder of this machine is made and registered.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="lexloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lexloom-tables/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def shared_table(df: DataFrame, name: str, most: int | None = None, per_file: int = 100_000) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    ``most`` is a count that its rows cannot exceed, where one is known: the table then has a file for every ``per_file`` of them and not one
-    for every shuffle partition.
-    """
-    spark = df.sparkSession
-    if most is not None:
-        df = df.coalesce(max(1, -(-most // per_file)))
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; ``lower`` is right, and much faster, on pure ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -18,6 +18,8 @@ MIN_CHARS = 1
 KEYS_PER_SHARD = 65_536
 #: Probes of a shard above which they are dealt over several tasks.
 ROWS_PER_TASK = 1_000_000
+#: Shards that a task reads one after the other, so that a corpus of many lines does not have as many tasks as shards.
+SHARDS_PER_TASK = 8
 GAMMA = 2
 MAX_LEVELS = 40
 
@@ -177,7 +179,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     probes = probes.withColumn("salt", F.expr("pmod(xxhash64(doc_id, tk), coalesce(salts, 1))").cast("int")).drop("salts")
     shards = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "probes")
     rows = shards.unionByName(probes, allowMissingColumns=True)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2**bits)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(2**bits) // SHARDS_PER_TASK))
     rows = rows.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("mph").isNull())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hits = rows.select("shard", "mph", "prints", "counts", "twins", "doc_id", "tk", "h", "f").mapInArrow(

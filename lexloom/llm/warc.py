@@ -56,12 +56,15 @@ def chunk_table(recs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.when(revisit, F.encode(http, "UTF-8")).otherwise(F.concat(F.encode(http, "UTF-8"), F.col("payload")))
-    rows = recs.select("page_id", "url", "digest", "refers_to", urn.alias("urn"), revisit.alias("revisit"), block.alias("block"))
-    rows = rows.withColumn("total", F.octet_length("block"))
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / chunk_bytes).cast("int") - 1))
-    rows = rows.withColumn("chunks", F.transform(steps, lambda k: F.substring(F.col("block"), k * chunk_bytes + 1, F.lit(chunk_bytes)))).drop("block")
-    rows = rows.withColumn("n", F.size("chunks")).select("*", F.posexplode("chunks").alias("k", "data")).drop("chunks")
+    rows = recs.select("page_id", "url", "digest", "refers_to", urn.alias("urn"), revisit.alias("revisit"), F.encode(http, "UTF-8").alias("http"), "payload")
+    rows = rows.withColumn("total", F.octet_length("http") + F.when(revisit, 0).otherwise(F.octet_length("payload")))
+    rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("total") / chunk_bytes).cast("int")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    # a chunk is cut from the head and the payload where they stand: neither the block nor the list of its chunks is ever made
+    at = F.col("k") * chunk_bytes - F.octet_length("http")
+    body = F.substring("payload", F.greatest(at, F.lit(0)) + 1, F.greatest(F.lit(0), F.least(F.lit(chunk_bytes), at + chunk_bytes)))
+    data = F.concat(F.substring("http", F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes)), F.when(revisit, F.lit(b"")).otherwise(body))
+    rows = rows.withColumn("data", data).drop("http", "payload")
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"\r\n{name}: "), value)
