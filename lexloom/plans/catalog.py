@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.config import DEFAULTS
 from lexloom.functions import text as T
 from lexloom.functions.arrays import cosine
 from lexloom.operators import chunking, dense, embedding, evaluate, experiments, fusion, generation, sparse, structure, verify
@@ -299,14 +300,50 @@ def chunk_recursive(spark, sf):
     return chunking.recursive(documents(spark, sf)).drop("chunk_id")
 
 
-@query()
-def chunk_semantic(spark, sf):
-    return chunking.semantic(documents(spark, sf))
+def _sentences_sql(rows: str, keys: str, text: str) -> str:
+    return CTE["sent"].replace("SELECT doc_id,", f"SELECT {keys},").replace("regexp_replace(text,", f"regexp_replace({text},").replace("FROM documents", f"FROM {rows}")
 
 
-@query()
-def chunk_hierarchical(spark, sf):
-    return chunking.hierarchical(legal(spark, sf).withColumn("law_name", F.col("source")))
+def _offsets_sql(rows: str, keys: str, parts: str) -> str:
+    """(keys, parts, begs, ends): where each part stands in the join of all by one character."""
+    return f"""SELECT {keys}, list(part ORDER BY i) AS parts, list(beg ORDER BY i) AS begs, list(beg + length(part) ORDER BY i) AS ends FROM (
+      SELECT {keys}, part, i, (sum(length(part) + 1) OVER (PARTITION BY {keys} ORDER BY i) - length(part) - 1)::BIGINT AS beg
+      FROM (SELECT {keys}, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS i FROM {rows})) GROUP BY {keys}"""
+
+
+def _runs_sql(name: str, rows: str, keys: str, last: str) -> str:
+    """Runs i to j of parts, one after the other; ``last`` gives j from {i}."""
+    return f"""SELECT {keys}, 1::BIGINT AS i, {last.format(i="1")} AS j FROM {rows}
+      UNION ALL SELECT {keys}, c.j + 1 AS i, {last.format(i="(c.j + 1)")} AS j FROM {name} c JOIN {rows} USING ({keys}) WHERE c.j < len(ends)"""
+
+
+def _packed_sql(limit: int) -> str:
+    return f"greatest({{i}}, len(list_filter(ends, lambda e: e <= begs[{{i}}] + {limit})))::BIGINT"
+
+
+CTE["sword"] = f"SELECT doc_id, i, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM (SELECT doc_id, i, unnest({tokens_sql('x')}) AS w FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sent)) GROUP BY ALL"
+CTE["snorm"] = "SELECT doc_id, i, sqrt(sum(n * n)) AS norm FROM sword GROUP BY ALL"
+CTE["scos"] = "SELECT b.doc_id, b.i, round(sum(a.n * b.n) / (any_value(x.norm) * any_value(y.norm)), 9) AS c FROM sword a JOIN sword b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.bucket = b.bucket JOIN snorm x ON x.doc_id = a.doc_id AND x.i = a.i JOIN snorm y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY ALL"
+CTE["sgroup"] = f"""SELECT doc_id, list(g ORDER BY grp) AS gs FROM (SELECT doc_id, grp, string_agg(x, ' ' ORDER BY i) AS g FROM (
+  SELECT doc_id, i, x, count(*) FILTER (i > 1 AND coalesce(c, 0) < {DEFAULTS.semantic_threshold}) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sent) LEFT JOIN scos USING (doc_id, i)) GROUP BY ALL) GROUP BY doc_id"""
+CTE["soff"] = _offsets_sql("sgroup", "doc_id", "gs")
+CTE["srun"] = _runs_sql("srun", "soff", "doc_id", f"least(len(ends), len(list_filter(ends, lambda e: e < begs[{{i}}] + {DEFAULTS.semantic_min_chunk})) + 1)::BIGINT")
+CTE["smerged"] = f"""SELECT doc_id, first AS key, array_to_string(parts[first:stop], ' ') AS chunk FROM (SELECT doc_id, min(i) AS first, max(j) AS stop FROM (
+  SELECT doc_id, i, j, n - (n > 1 AND n = count(*) OVER (PARTITION BY doc_id) AND len(list_filter(ends, lambda e: e >= begs[i] + {DEFAULTS.semantic_min_chunk})) = 0)::INT AS grp
+  FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM srun) JOIN soff USING (doc_id)) GROUP BY doc_id, grp) JOIN soff USING (doc_id)"""
+CTE["slarge"] = f"SELECT * FROM smerged WHERE length(chunk) > {DEFAULTS.semantic_max_chunk}"
+CTE["slsent"] = _sentences_sql("slarge", "doc_id, key", "chunk")
+CTE["sloff"] = _offsets_sql("slsent", "doc_id, key", "s")
+CTE["slrun"] = _runs_sql("slrun", "sloff", "doc_id, key", _packed_sql(DEFAULTS.semantic_max_chunk))
+KEPT |= {"sent", "sword", "soff", "smerged", "sloff"}
+_SEM = ("sent", "sword", "snorm", "scos", "sgroup", "soff", "srun", "smerged", "slarge", "slsent", "sloff", "slrun")
+
+
+@query(f"""SELECT doc_id, chunk_index, text, 'sem_' || left(md5(text), 8) || '_' || printf('%03d', chunk_index) AS label, md5(doc_id || ':' || chunk_index) AS chunk_id, length(text)::BIGINT AS chunk_size, source FROM (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY key, sub) - 1)::BIGINT AS chunk_index, text FROM (SELECT doc_id, key, 0 AS sub, chunk AS text FROM smerged WHERE length(chunk) <= {DEFAULTS.semantic_max_chunk}
+    UNION ALL SELECT doc_id, key, i, {strip_sql("array_to_string(parts[i:j], ' ')")} FROM slrun JOIN sloff USING (doc_id, key)) WHERE text <> '') JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""", *_SEM)
+def chunk_semantic(spark, sf):
+    return chunking.semantic(documents(spark, sf))
 
 
 CTE["line"] = f"SELECT doc_id, {strip_sql('unnest(l)')} AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM legal)"
@@ -330,6 +367,31 @@ def hierarchy_elements(spark, sf):
     return chunking._per_text(legal(spark, sf).select("doc_id", "text"), make, [("pos", pa.int64(), "long"), *((n, pa.string(), "string") for n in ("type", "title", "body", "part", "chapter"))])
 
 
+CTE["hfull"] = rf"""SELECT *, {strip_sql("title || chr(10) || body")} AS text, CASE WHEN type = 'article' THEN regexp_extract(title, '(?i)^article\s*\(?(\d+)', 1) ELSE '' END AS num FROM (
+  SELECT doc_id, e AS pos, type, title, body, coalesce('Part ' || regexp_extract(last_value(CASE WHEN type = 'part' THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY e), '(?i)^part\s+(\w+)', 1), '') AS part,
+    coalesce('Chapter ' || regexp_extract(last_value(CASE WHEN type = 'chapter' THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id, part_run ORDER BY e), '(?i)^chapter\s+(\w+)', 1), '') AS chapter FROM elem)"""
+CTE["hlong"] = rf"""SELECT doc_id, pos, text, string_split(regexp_replace(text, '\n(\d+[.)]\s|\([a-z]\)\s)', chr(1) || '\1', 'g'), chr(1)) AS c FROM hfull WHERE type = 'article' AND length(text) > {DEFAULTS.hierarchical_max_chunk}"""
+CTE["hsent"] = _sentences_sql("hlong", "doc_id, pos", "text")
+CTE["hparts"] = "SELECT doc_id, pos, CASE WHEN len(c) > 1 THEN c ELSE s END AS p, CASE WHEN len(c) > 1 THEN chr(10) ELSE ' ' END AS glue FROM hlong JOIN hsent USING (doc_id, pos)"
+CTE["hoff"] = _offsets_sql("hparts", "doc_id, pos", "p")
+CTE["hrun"] = _runs_sql("hrun", "hoff", "doc_id, pos", _packed_sql(DEFAULTS.hierarchical_max_chunk))
+_JOINED = "CASE WHEN glue = ' ' THEN array_to_string(parts[i:j], ' ') ELSE array_to_string(parts[i:j], chr(10)) END"
+CTE["hpiece"] = f"SELECT doc_id, pos, i, {strip_sql(_JOINED)} AS text FROM hrun JOIN hoff USING (doc_id, pos) JOIN hparts USING (doc_id, pos)"
+CTE["hchunk"] = f"""SELECT doc_id, pos, 0 AS i, CASE WHEN type = 'article' THEN text ELSE text[:{DEFAULTS.hierarchical_max_chunk}] END AS text FROM hfull WHERE length(text) >= 10 AND NOT (type = 'article' AND length(text) > {DEFAULTS.hierarchical_max_chunk})
+  UNION ALL SELECT * FROM hpiece WHERE text <> ''"""
+CTE["hnum"] = """SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) - 1)::BIGINT AS chunk_index, count(*) OVER (PARTITION BY doc_id, pos) AS n, (row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) - 1)::BIGINT AS sub FROM hchunk"""
+KEPT |= {"elem", "hfull", "hparts", "hoff"}
+_H = ("legal", "line", "head", "run", "elem", "hfull", "hlong", "hsent", "hparts", "hoff", "hrun", "hpiece", "hchunk", "hnum")
+
+
+@query("""SELECT h.doc_id, chunk_index, h.text, 'hier_' || CASE WHEN type = 'article' THEN 'art' || num ELSE type END || '_' || printf('%04d', chunk_index) AS label, type AS hierarchy_level,
+  array_to_string(list_filter([part, chapter, CASE WHEN num <> '' THEN 'Article ' || num ELSE '' END], lambda x: x <> ''), ' > ') AS hierarchy_path, part AS parent_part, chapter AS parent_chapter, '' AS parent_section,
+  num AS article_number, CASE WHEN n > 1 THEN sub ELSE -1 END::BIGINT AS sub_chunk_index, md5(h.doc_id || ':' || chunk_index) AS chunk_id, length(h.text)::BIGINT AS chunk_size, source, source AS law_name
+  FROM hnum h JOIN hfull f ON f.doc_id = h.doc_id AND f.pos = h.pos JOIN (SELECT doc_id, source FROM documents) d ON d.doc_id = h.doc_id""", *_H)
+def chunk_hierarchical(spark, sf):
+    return chunking.hierarchical(legal(spark, sf).withColumn("law_name", F.col("source")))
+
+
 @query("SELECT count(*)::BIGINT AS n, avg(length(text)) AS avg_size, min(length(text))::BIGINT AS min_size, max(length(text))::BIGINT AS max_size FROM win", "win")
 def chunk_stats(spark, sf):
     return chunking.stats(chunking.sliding(documents(spark, sf)))
