@@ -36,9 +36,10 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC; Spark has no built-in form, so texts go through Arrow batches (ASCII ones untouched)."""
+    """NFKC; Spark has no built-in form, so texts go through Arrow batches; ASCII ones stay behind."""
     ship_package(SparkSession.active())
-    return _nfkc(c)
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
 
 
 def plain_typography(c: Column) -> Column:
