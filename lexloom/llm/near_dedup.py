@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, matching, packed, shared_table, text_key
+from lexloom.llm.common import BROADCAST_ROWS, components, matching, packed, shared_table, text_key
 from lexloom.llm.simhash import shingle_hashes
 from lexloom.session import ship_package
 
@@ -31,8 +31,6 @@ MAX_DIFFER = 35
 LONGS = SYMBOLS // 16
 #: Places between sorted neighbours that are compared.
 REACH = 4
-#: Identifiers up to which a side is small enough to be sent to every executor (some 20 bytes each).
-BROADCAST_ROWS = 200_000
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 * (i + 1))) % 2**64 | 1 for i in range(SYMBOLS)], np.uint64)
 _ADD = np.array([0xA0761D6478BD642F * (i + 7) % 2**64 for i in range(SYMBOLS)], np.uint64)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, shared_table
+from lexloom.llm.common import components, shared_table, sized
 from lexloom.session import ship_package
 
 WORDS = 4
@@ -104,22 +104,23 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     ``fps`` holds distinct fingerprints.  Buckets of one, and of two that are too far apart, are dropped by an
     aggregate with map-side combining; what remains is checked in two passes, so that a bucket of near copies gives no row for each pair: first each member
-    against its bucket's smallest one, then members of the same bucket that are still in different components.
+    against its bucket's smallest one, then members of the same bucket that are still in different components.  Filed rows, some 37 to a
+    fingerprint, are merged: the optimizer takes them for one row each and would send them through the driver.
     """
     filed = fps.select("fp", F.explode(ring_keys(F.col("fp"), max_bits)).alias("k")).select("fp", "k.ring", "k.key")
     hubs = filed.groupBy("ring", "key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("top")).where("n > 1")
     two = viable(F.col("hub").bitwiseXOR(F.col("top")), F.col("ring"), max_bits)  # decides a bucket of two without a join
     hubs = hubs.where((F.col("n") > 2) | two).drop("n", "top")
-    rows = shared_table(filed.join(hubs, ["ring", "key"]), "ring-buckets")
+    rows = shared_table(filed.join(hubs.hint("merge"), ["ring", "key"]), "ring-buckets")
     n = rows.count()
     x = F.col("fp").bitwiseXOR(F.col("hub"))
     edges = shared_table(rows.where((F.col("fp") != F.col("hub")) & viable(x, F.col("ring"), max_bits)).select(
         F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "hub-links", n)
     labels = shared_table(components(edges), "hub-labels", n)
-    rows = rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")).drop("hub")
+    rows = rows.join(sized(labels.withColumnRenamed("node", "fp"), n), "fp", "left").withColumn("label", F.coalesce("label", "fp")).drop("hub")
     mixed = rows.groupBy("ring", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    rows = shared_table(rows.join(mixed, ["ring", "key"]), "mixed-buckets", n)
-    other = rows.withColumnsRenamed({"fp": "fp2", "label": "label2"})
+    rows = shared_table(rows.join(sized(mixed, n), ["ring", "key"]), "mixed-buckets", n)
+    other = sized(rows, rows.count()).withColumnsRenamed({"fp": "fp2", "label": "label2"})
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
     pairs = rows.join(other, ["ring", "key"]).where((F.col("label") < F.col("label2")) & viable(x, F.col("ring"), max_bits))
     more = pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
@@ -136,8 +137,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     """
     rows = shared_table(fingerprints(docs, words), "fingerprints")
     nodes = shared_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
-    labels = link(nodes.select("fp"), max_bits)
-    nodes = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    n = nodes.count()
+    nodes = nodes.join(sized(link(nodes.select("fp"), max_bits), n), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(least, "label").select("fp", "component_id")
-    return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = nodes.join(sized(least, n), "label").select("fp", "component_id")
+    return rows.join(sized(nodes, rows.count()), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

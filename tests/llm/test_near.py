@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from lexloom.llm import near_dedup, simhash
+from lexloom.llm import common, near_dedup, simhash
 from lexloom.llm.common import components
 
 
@@ -155,3 +155,28 @@ def test_texts_whose_hashes_clash_stay_apart(spark):
     rows = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 70), (5, 9, 90)], "doc_id long, tk long, tk2 long")
     node = {r.doc_id: r.node for r in near_dedup.told_apart(rows).collect()}
     assert node[1] == node[3] and len({node[1], node[2], node[4], node[5]}) == 4 and (node[4], node[5]) == (8, 9)
+
+
+def _plans(monkeypatch, modules, run):
+    """Physical plans, before adaptive changes, of the shared tables that ``run`` writes, and of what it returns."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for m in modules:
+        def spy(df, name, *rest, write=m.shared_table):
+            plans.append((name, plan(df)))
+            return write(df, name, *rest)
+
+        monkeypatch.setattr(m, "shared_table", spy)
+    out = run()
+    return out, [*plans, ("result", plan(out))]
+
+
+def test_filed_fingerprints_do_not_pass_through_the_driver(spark, docs, monkeypatch):
+    """The optimizer sees one row for each fingerprint where 37 are filed, and the size of encoded files where rows are meant."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    want = Counter(map(tuple, simhash.near_duplicates(docs).collect()))
+    _, plans = _plans(monkeypatch, [simhash], lambda: simhash.near_duplicates(docs))
+    assert [p for name, p in plans if name == "ring-buckets" and "Join" in p and "Broadcast" not in p]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # as if every count were large
+    got, plans = _plans(monkeypatch, [simhash, common], lambda: simhash.near_duplicates(docs))
+    assert not [name for name, p in plans if "Broadcast" in p] and len(plans) > 8
+    assert Counter(map(tuple, got.collect())) == want
