@@ -1,9 +1,10 @@
-"""Near-duplicate documents by Jaccard similarity of word shingles, on the segmented fingerprints of :mod:`lexloom.llm.simhash`.
+"""Near-duplicate documents by Jaccard similarity of word shingles: SimHash and pigeonring of :mod:`lexloom.llm.simhash`, and segments of a longer fingerprint.
 
-A 64-bit SimHash cannot tell a similarity of 0.8: such pairs are 4 to 14 bits apart (README, with figures), and so are
-strangers in a large corpus.  The fingerprint here has 512 bits: 128 symbols of four bits, each drawn from the
-shingle with the smallest hash under one of 128 permutations, so that symbols agree as often as the shingle sets do.  16
-segments of four symbols take the place of SimHash segments: documents that agree on one are candidates, then the whole
+Texts whose 64-bit SimHashes meet in a ring bucket and pass the chain test and the full distance are candidates, and the exact similarity
+decides.  That alone cannot reach a similarity of 0.8: such pairs are 4 to 14 bits apart (README, with figures), and so are strangers in a large
+corpus.  So a second fingerprint adds candidates.  It has 512 bits: 128 symbols of four bits, each drawn from the
+shingle with the smallest hash under one of 128 permutations, so that symbols agree as often as the shingle sets do.
+Documents that agree on one of 16 segments of four symbols are candidates, then the whole
 fingerprint's differing symbols are counted, then the exact similarity is computed.
 """
 
@@ -17,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import BROADCAST_ROWS, components, matching, packed, shared_table, text_key
-from lexloom.llm.simhash import shingle_hashes
+from lexloom.llm.common import BROADCAST_ROWS, components, matching, packed, shared_table, sized, text_key
+from lexloom.llm.simhash import MAX_BITS, buckets, fingerprint, shingle_hashes, viable
 from lexloom.session import ship_package
 
 WORDS = 5
@@ -51,17 +52,22 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]] | None:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, tk, tk2, keys, packed) of each row; tk and tk2 are independent hashes of the text; keys and packed are null without shingles."""
+    """(doc_id, tk, tk2, keys, packed, fp, size) of each row; tk and tk2 are independent hashes of the text, fp is its SimHash and size the number
+    of its different shingles; keys, packed and fp are null without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sketch(np.unique(shingle_hashes(t.as_py(), words))) for t in b.column(3)]
-            keys, packed = ([x and x[k] for x in got] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))], ["doc_id", "tk", "tk2", "keys", "packed"])
+            got = []
+            for t in b.column(3):
+                hashes = shingle_hashes(t.as_py(), words)
+                once = np.unique(hashes)
+                got.append((*(sketch(once) or (None, None)), fingerprint(hashes) if len(hashes) else None, len(once)))
+            columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["doc_id", "tk", "tk2", "keys", "packed", "fp", "size"])
 
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("\u0000"))).alias("tk2"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, tk long, tk2 long, keys array<long>, packed array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, tk long, tk2 long, keys array<long>, packed array<long>, fp long, size long")
 
 
 def told_apart(rows: DataFrame) -> DataFrame:
@@ -149,17 +155,57 @@ def neighbours(filed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+class Ring:
+    """Texts in the buckets of operator 6: its fingerprints, ring keys, chain test and distance, in two passes as in :func:`lexloom.llm.simhash.link`.
+
+    Texts of one fingerprint are a bucket of their own.  Pairs whose numbers of shingles alone exclude the similarity are left out.
+    """
+
+    def __init__(self, nodes: DataFrame, similarity: float):
+        prints = nodes.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("tk", "size")).alias("x"), F.count("*").alias("copies"))
+        self.prints = shared_table(prints.select("fp", "x.*", "copies"), "fingerprint-nodes")
+        self.nodes, self.similarity, self.met = nodes.select("tk", "fp", "size"), similarity, buckets(self.prints.select("fp"))
+        self.count, self.most = self.met.count(), self.prints.count()
+
+    def alike(self, size: Column, size2: Column) -> Column:
+        return F.least(size, size2) >= self.similarity * F.greatest(size, size2)
+
+    def first(self) -> DataFrame:
+        """(a, b): a text of each fingerprint with one of its bucket's smallest, and with the others of that fingerprint."""
+        x = F.col("fp").bitwiseXOR(F.col("hub"))
+        near = self.met.where((F.col("fp") != F.col("hub")) & viable(x, F.col("ring"), MAX_BITS)).select("fp", "hub").distinct()
+        prints = sized(self.prints.drop("copies"), self.most)
+        near = near.join(prints, "fp").join(prints.withColumnsRenamed({"fp": "hub", "tk": "tk2", "size": "size2"}), "hub")
+        same = self.prints.where("copies > 1").select("fp", F.col("tk").alias("tk2"), F.col("size").alias("size2"))
+        same = self.nodes.join(sized(same, self.most), "fp").where("tk <> tk2")
+        pairs = near.select("tk", "tk2", "size", "size2").union(same.select("tk", "tk2", "size", "size2"))
+        return pairs.where(self.alike(F.col("size"), F.col("size2"))).select(F.col("tk").alias("a"), F.col("tk2").alias("b"))
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """(a, b), a the greater: all pairs within the distance that ``labels`` (tk, label) leaves in different components."""
+        same = self.prints.where("copies > 1").select(F.lit(MAX_BITS + 1).cast("byte").alias("ring"), F.col("fp").alias("key"), "fp")
+        met = self.met.select("ring", "key", "fp").union(same).join(sized(self.nodes, self.nodes.count()), "fp")
+        met = met.join(sized(labels, self.count + self.most), "tk", "left").withColumn("label", F.coalesce("label", "tk"))
+        mixed = met.groupBy("ring", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("ring", "key")
+        met = shared_table(met.join(mixed, ["ring", "key"]), "mixed-rings")
+        other = sized(met, met.count()).withColumnsRenamed({c: c + "2" for c in ("tk", "fp", "size", "label")})
+        x, ring = F.col("fp").bitwiseXOR(F.col("fp2")), F.col("ring") % (MAX_BITS + 1)
+        pairs = met.join(other, ["ring", "key"]).where((F.col("label") < F.col("label2")) & self.alike(F.col("size"), F.col("size2")) & viable(x, ring, MAX_BITS))
+        return pairs.select(F.greatest("tk", "tk2").alias("a"), F.least("tk", "tk2").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tk, group, label): rows of a group have equal texts or are chained by pairs of at least ``similarity``; group is the
     smallest doc_id in it, and label tells groups apart where ids repeat or are null.
 
-    Equal texts are one node.  Within a segment's bucket each node is checked against the bucket's smallest one and its neighbours first, then
+    Equal texts are one node.  Candidates are the pairs of :class:`Ring` and those of the segments.  Within a bucket of either each node is checked against the bucket's smallest one and its neighbours first, then
     only nodes that are still in different components against each other, once for each pair.  Null and empty texts have no shingles:
     they group with their equals alone.  A very long text is read whole, in blocks of shingles.
     """
     rows = told_apart(shared_table(sketches(docs, words), "sketches"))
-    nodes = rows.groupBy(F.col("node").alias("tk")).agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"), F.min("packed").alias("packed"))
+    nodes = rows.groupBy(F.col("node").alias("tk")).agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("keys", "packed", "fp", "size")])
     nodes = shared_table(nodes, "text-nodes")
+    ring = Ring(nodes, similarity)
     profiles = nodes.select("tk", "packed", "keys")
     filed = nodes.select("tk", F.posexplode("keys").alias("i", "key"))
     hubs = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("tk").alias("hub")).where("n > 1").drop("n")
@@ -173,16 +219,17 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     onward = F.concat(F.slice("keys", F.col("i") + 2, F.lit(SEGMENTS)), F.slice("keys", F.lit(1), F.col("i")))
     for chain in (onward, F.reverse(onward)):
         pairs = pairs.union(neighbours(met.select("key", "tk", "packed", chain.alias("chain"))))
-    pairs = shared_table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first-pairs", (2 * REACH + 1) * n)
+    pairs = pairs.union(ring.first())
+    pairs = shared_table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first-pairs", (2 * REACH + 1) * n + ring.count + ring.most)
     edges = verify(pairs, rows, docs, words, similarity)
-    labels = shared_table(components(edges), "first-groups", n).withColumnRenamed("node", "tk")
+    labels = shared_table(components(edges), "first-groups", n + ring.count).withColumnRenamed("node", "tk")
     met = met.join(labels, "tk", "left").withColumn("label", F.coalesce("label", "tk"))
     mixed = met.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     met = shared_table(met.join(mixed, "key"), "mixed-segments", n, 20_000)
     other = met.select("key", *[F.col(c).alias(c + "2") for c in ("tk", "packed", "label", "keys")])
     first = F.expr(f"i = 0 OR NOT exists(sequence(0, {SEGMENTS - 1}), k -> k < i AND keys[k] = keys2[k])")
     more = met.join(other, "key").where((F.col("label") < F.col("label2")) & (differing(F.col("packed"), F.col("packed2")) <= MAX_DIFFER) & first)
-    more = more.select(F.greatest("tk", "tk2").alias("a"), F.least("tk", "tk2").alias("b"))
+    more = more.select(F.greatest("tk", "tk2").alias("a"), F.least("tk", "tk2").alias("b")).union(ring.rest(labels)).distinct()
     more = shared_table(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     edges = edges.union(verify(more, rows, docs, words, similarity))
     labels = components(edges).withColumnRenamed("node", "tk")

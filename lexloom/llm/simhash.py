@@ -99,19 +99,26 @@ def viable(x: Column, ring: Column, max_bits: int) -> Column:
     return test & (F.bit_count(x) <= max_bits)
 
 
-def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, label) for the fingerprints that have a link, label being equal within a component.
+def buckets(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(ring, key, fp, hub) table: the buckets of distinct fingerprints in which any two can be within ``max_bits``; hub is a bucket's smallest one.
 
-    ``fps`` holds distinct fingerprints.  Buckets of one, and of two that are too far apart, are dropped by an
-    aggregate with map-side combining; what remains is checked in two passes, so that a bucket of near copies gives no row for each pair: first each member
-    against its bucket's smallest one, then members of the same bucket that are still in different components.  Filed rows, some 37 to a
+    Buckets of one, and of two that are too far apart, are dropped by an aggregate with map-side combining.  Filed rows, some 37 to a
     fingerprint, are merged: the optimizer takes them for one row each and would send them through the driver.
     """
     filed = fps.select("fp", F.explode(ring_keys(F.col("fp"), max_bits)).alias("k")).select("fp", "k.ring", "k.key")
     hubs = filed.groupBy("ring", "key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("top")).where("n > 1")
     two = viable(F.col("hub").bitwiseXOR(F.col("top")), F.col("ring"), max_bits)  # decides a bucket of two without a join
     hubs = hubs.where((F.col("n") > 2) | two).drop("n", "top")
-    rows = shared_table(filed.join(hubs.hint("merge"), ["ring", "key"]), "ring-buckets")
+    return shared_table(filed.join(hubs.hint("merge"), ["ring", "key"]), "ring-buckets")
+
+
+def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, label) for the fingerprints that have a link, label being equal within a component.
+
+    ``fps`` holds distinct fingerprints.  Their buckets are checked in two passes, so that a bucket of near copies gives no row for each
+    pair: first each member against its bucket's smallest one, then members of the same bucket that are still in different components.
+    """
+    rows = buckets(fps, max_bits)
     n = rows.count()
     x = F.col("fp").bitwiseXOR(F.col("hub"))
     edges = shared_table(rows.where((F.col("fp") != F.col("hub")) & viable(x, F.col("ring"), max_bits)).select(

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lexloom.llm import common, near_dedup, simhash
@@ -180,3 +181,31 @@ def test_filed_fingerprints_do_not_pass_through_the_driver(spark, docs, monkeypa
     got, plans = _plans(monkeypatch, [simhash, common], lambda: simhash.near_duplicates(docs))
     assert not [name for name, p in plans if "Broadcast" in p] and len(plans) > 8
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_similar_texts_within_four_bits_are_found_by_simhash_alone(spark, docs, monkeypatch):
+    """The named method is a path of its own: it links what it reaches while the longer fingerprint lets no pair pass."""
+    monkeypatch.setattr(near_dedup, "MAX_DIFFER", -1)
+    rows = []
+    for n, r in enumerate(docs.where("n_chars between 1500 and 2500").select("text").limit(12).collect()):
+        words = r.text.split()
+        rows += [(100 * n, r.text), (100 * n + 1, " ".join(["first", *words])), (100 * n + 2, " ".join([*words, "last"])), (100 * n + 3, " ".join([*words, *words])), (100 * n + 4, " ".join(words[: len(words) // 2]))]
+        rows += [(100 * n + 10 + k, " ".join([*words[: k * 7], "edit", *words[k * 7 :]])) for k in range(1, 6)]
+    rows += [(9_000, None), (9_001, ""), (9_002, "")]
+    u = Union({text_of(Row(text=t)) for _, t in rows})
+    hashes = {text_of(Row(text=t)): simhash.shingle_hashes(t, near_dedup.WORDS) for _, t in rows if t}
+    links = 0
+    for (a, x), (b, y) in combinations(hashes.items(), 2):
+        near = (simhash.fingerprint(x) ^ simhash.fingerprint(y)) % 2**64
+        x, y = set(x.tolist()), set(y.tolist())
+        if near.bit_count() <= 4 and len(x & y) >= 0.8 * len(x | y):
+            u.join(a, b)
+            links += 1
+    want = {}
+    for i, t in rows:
+        want.setdefault(u.find(text_of(Row(text=t))), set()).add(i)
+    got = {}
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in near_dedup.groups(made).collect():
+        got.setdefault(r.label, set()).add(r.doc_id)
+    assert links > 12 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
