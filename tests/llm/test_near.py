@@ -56,6 +56,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_few_jobs(spark):
+    """The driver holds each job's plan and broadcasts; the rounds over all tasks and the one task agree."""
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(int(a), int(b)) for a, b in rng.integers(-900, -400, (400, 2))] + [(5000, 5000), (None, 1)]
+    u = Union({x for e in edges for x in e if x is not None})
+    for a, b in edges:
+        if a is not None:
+            u.join(a, b)
+    want = {i: u.find(i) for i in {x for a, b in edges if a is not None and a != b for x in (a, b)}}
+    df, sc = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext
+    jobs = {}
+    for most in (0, 100, common.TASK_EDGES):
+        sc.setJobGroup(f"components-{most}", "")
+        try:
+            rows = components(df, *[most] * (most < common.TASK_EDGES)).collect()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs[most] = len(sc.statusTracker().getJobIdsForGroup(f"components-{most}"))
+        assert {r.node: r.label for r in rows} == want and len(rows) == len(want)
+    assert 0 < jobs[common.TASK_EDGES] <= 6 < jobs[0]
+
+
 def test_links_within_four_bits_are_complete(spark):
     """Random fingerprints, each with neighbours at every distance up to six, and a ball of near copies."""
     rng = np.random.default_rng(7)
