@@ -14,6 +14,8 @@ from lexloom.session import ship_package
 
 #: Query vectors that every executor gets at once; more are taken block by block.
 BLOCK_QUERIES = 4096
+#: Cosines, and rows of the base, that a task holds at once.
+CELLS, ROWS = 1 << 20, 1024
 DIGITS = 6
 
 
@@ -23,11 +25,35 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+class _Best:
+    """The ``k`` best rows so far for each of a block of queries, by rounded cosine and then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.floor = np.full(queries, -np.inf)  # the k-th score, where there are k: what is below it can't come in
+        self.found: list[np.ndarray] = []
+
+    def add(self, own: np.ndarray, cos: np.ndarray) -> None:
+        """``cos`` has a line for each query and a column for each id in ``own``."""
+        floor, n = self.floor, len(own)
+        if n >= self.k and (floor == -np.inf).any():
+            floor = np.maximum(floor, np.round(np.partition(cos, n - self.k, 1)[:, n - self.k], DIGITS))
+        q, at = np.nonzero(~(cos < (floor - 10.0**-DIGITS)[:, None]))  # a little less than the floor may be rounded up to it
+        new = [q, own[at], np.round(cos[q, at], DIGITS)]
+        q, own, score = map(np.concatenate, zip(self.found, new, strict=True)) if self.found else new
+        order = np.lexsort((own, -score, q))
+        order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.found = [q, own, score] = [x[order] for x in (q, own, score)]
+        many = np.bincount(q, minlength=len(self.floor))
+        full = many == self.k
+        self.floor[full] = score[(np.cumsum(many) - 1)[full]]
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, <id_col>, score, rank): the ``k`` rows of ``base`` with the largest cosine, ties by id.
 
-    Queries are a stated set; a block of them goes to every task, which multiplies its rows with the block and keeps its own ``k``
-    best, so only k rows for each query and Arrow batch are shuffled.  Cosines are rounded to six digits before ranking.  Null
+    Queries are a stated set; a block of them goes to every task, which multiplies its rows with the block, CELLS products at a time, and
+    keeps its own ``k`` best, so only k rows for each query and task are shuffled.  Cosines are rounded to six digits before ranking.  Null
     vectors are left out; a zero vector has cosine 0 with everything.
     """
     ship_package(base.sparkSession)
@@ -39,17 +65,15 @@ def knn(base: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k, id_col: st
         ids, matrix = [r[0] for r in block], _unit([r[1] for r in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, step, kind = _Best(len(ids), k), max(1, min(ROWS, CELLS // len(ids))), None
             for b in batches:
-                if not b.num_rows:
-                    continue
-                cos = np.round(_unit(b.column(1).to_pylist()) @ matrix.T, DIGITS)
-                own = np.array(b.column(0).to_pylist())
-                n, out = min(k, len(own)), []
-                for j in range(cos.shape[1]):
-                    at = np.lexsort((own, -cos[:, j]))[:n]
-                    out.append((np.full(n, j), at, cos[at, j]))
-                q, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), b.column(0).take(pa.array(at)), pa.array(score)], [query_id, id_col, "score"])
+                kind = b.column(0).type
+                for a in range(0, b.num_rows, step):
+                    own, vectors = (b.column(i).slice(a, step).to_pylist() for i in (0, 1))
+                    best.add(np.array(own), matrix @ _unit(vectors).T)
+            if best.found:
+                q, own, score = best.found
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(own, kind), pa.array(score)], [query_id, id_col, "score"])
 
         return base.mapInArrow(run, f"{query_id} {q_type}, {id_col} {id_type}, score double")
 

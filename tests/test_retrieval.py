@@ -1,6 +1,9 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +32,31 @@ def test_blocks_of_queries(spark, monkeypatch):
         assert [got[i, k + 1] for k in range(4)] == np.lexsort((np.arange(30), -np.round(u @ u[i], 6)))[:4].tolist()
 
 
+def test_knn_of_many_queries_holds_few_cosines(spark, monkeypatch):
+    base = spark.createDataFrame([(0, [1.0] * 4)], "vec_id long, embedding array<double>")
+    made, real = [], type(base).mapInArrow
+    monkeypatch.setattr(type(base), "mapInArrow", lambda self, f, schema: made.append(f) or real(self, f, schema))
+    rng = np.random.default_rng(2)
+    m, x = rng.normal(size=(4096, 4)), rng.integers(-2, 3, (10_000, 4)).astype(float)
+    q = spark.createDataFrame(pd.DataFrame({"query_id": range(4096), "embedding": m.tolist()}))
+    dense.knn(base, q)
+    ids = rng.permutation(10_000)
+    parts = [pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(x[a:b].tolist())], ["vec_id", "embedding"]) for a, b in ((0, 3), (3, 3), (3, 10_000))]
+    tracemalloc.start()
+    got = list(made[-1](iter(parts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert [b.num_rows for b in got] == [5 * 4096]
+    rows = {}
+    for i, v, score in zip(*(c.to_pylist() for c in got[0].columns), strict=True):
+        rows.setdefault(i, []).append((-score, v))
+    unit = dense._unit(x)
+    for i in range(0, 4096, 100):
+        cos = np.round(unit @ dense._unit(m[i : i + 1])[0], 6)
+        assert sorted(rows[i]) == [(-cos[j], ids[j]) for j in np.lexsort((ids, -cos))[:5]]
+
+
 def test_bm25(spark):
     texts = ["the cat sat", "the dog sat", "the cat the cat", "", "bird"]
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
