@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,10 +29,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+#: Texts of an Arrow batch that a worker holds as Python strings at once.
+TEXTS = 64
+
+
+@F.arrow_udf(StringType())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], texts.type)
+
+    for b in batches:
+        yield pa.concat_arrays([made(b.slice(a, TEXTS)) for a in range(0, max(1, len(b)), TEXTS)])
 
 
 def nfkc(c: Column) -> Column:

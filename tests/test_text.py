@@ -1,3 +1,10 @@
+import os
+import subprocess
+import sys
+import tracemalloc
+import unicodedata
+
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,6 +65,22 @@ def test_sentence_twins_agree(spark, texts):
     assert one(spark, T.sentences, *texts) == [sentence_list(t) for t in texts]
 
 
+def test_nfkc_holds_few_strings():
+    texts = [None, "", "plain", *(f"\ufb01ne caf\u00e9 {i} \u2026" * 100 for i in range(3000))]
+    batch = pa.array(texts)
+    del texts
+    tracemalloc.start()
+    got = list(T._nfkc.func(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    assert got[0].to_pylist() == [x and unicodedata.normalize("NFKC", x) for x in batch.to_pylist()] and not len(got[1])
+
+
+def test_workers_of_text_functions_do_not_load_pandas():
+    subprocess.run([sys.executable, "-c", "import sys, lexloom.functions.text, lexloom.operators.chunking, lexloom.operators.dense; assert 'pandas' not in sys.modules"], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+
+
 def test_long_amounts(spark):
     amount = ",".join(["123"] * 40)
     got = spark.createDataFrame([(f"AED {' ' * 30}{amount}, and 1,2 but AED5,000",)], "t string").select(T.currency(F.col("t"))).first()[0]
